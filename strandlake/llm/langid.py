@@ -56,7 +56,7 @@ def features(text: str | None) -> np.ndarray | None:
     counts = np.zeros(DIMS)
     for at in range(0, len(data), PIECE):  # pieces overlap by two bytes, so that no n-gram is lost
         x = _FOLD[data[at : at + PIECE + 2]]
-        if len(x) < 3:
+        if len(x) < 2:
             break
         two = (x[:-1] << 8) | x[1:]
         three = (two[:-1] << 8) | x[2:]
@@ -153,9 +153,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
     whose hashes are least, ``in_all`` at most. None if there is nothing to learn from."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keys = rows.select("lang", F.xxhash64("text").alias("key"))
+    keys = rows.select("lang", F.xxhash64("text").alias("key")).distinct()  # copies count once
     first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    picked = keys.withColumn("n", first).where(F.col("n") <= per_language).orderBy("n", "lang").limit(in_all).select("lang", "key").distinct().collect()
+    picked = keys.withColumn("n", first).where(F.col("n") <= per_language).orderBy("n", "lang").limit(in_all).select("lang", "key").collect()
     if not picked:
         return None
     chosen = rows.sparkSession.createDataFrame([tuple(r) for r in picked], "lang string, key long")
