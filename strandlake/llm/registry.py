@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import langid, mixing, pieces, simhash, sketch, warc
+from strandlake.llm import langid, licenses, mixing, pieces, quality, simhash, sketch, substrings, warc
 from strandlake.llm.common import table
 
 
@@ -18,6 +18,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -37,7 +49,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op3_language_id, op7_document_fingerprints, op8_source_mixing, op9_warc, op10_sentencepiece)
+    found = (op1_simhash, op3_language_id, op4_quality, op5_license_scan, op6_suffix_dedup, op7_document_fingerprints, op8_source_mixing, op9_warc, op10_sentencepiece)
     return {f.__name__: f for f in found}
 
 

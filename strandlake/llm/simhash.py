@@ -196,6 +196,16 @@ def links(prints: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     return map_batches(rows, _link, "u long, v long", 1 << 16)
 
 
+def _named(signed: DataFrame, split_at: int) -> DataFrame:
+    """(fp, component_id) of rows with fp and doc_id."""
+    first = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(first.select("fp"), split_at))
+    tied = first.join(roots, first.fp == roots.node).select("fp", "root", "first")
+    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
+    tied = tied.join(least, "root").select("fp", "root", "component_id")
+    return cut(first.join(tied, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -205,10 +215,25 @@ def near_duplicates(docs: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     columns of ``docs`` are ignored, whatever their names.
     """
     signed = cut(fingerprints(docs))
-    first = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(first.select("fp"), split_at))
-    tied = first.join(roots, first.fp == roots.node).select("fp", "root", "first")
-    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    tied = tied.join(least, "root").select("fp", "component_id")
-    named = first.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = _named(signed, split_at)
     return signed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _sign_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp = np.array([fingerprint(t) for t in utf8(b, "text")], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fp)], ["doc_id", "key", "fp"])
+
+
+def representatives(docs: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: its smallest doc_id (null after all others),
+    of equal ids the smallest hash of the text; of rows that agree in both, one."""
+    id_, key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(id_.alias("doc_id"), key.alias("key"), F.col("text").cast("string"))
+    signed = cut(map_batches(rows, _sign_keyed, "doc_id long, key long, fp long"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    by_print = signed.groupBy("fp").agg(F.min(place).alias("one"))
+    kept = by_print.join(_named(signed, split_at), "fp").groupBy("root").agg(F.min("one").alias("one"))
+    kept = cut(kept.select(F.coalesce("one.doc_id", F.lit(0)).alias("_id"), F.col("one.none").alias("_none"), F.col("one.key").alias("_key")))
+    own = docs.withColumns({"_id": F.coalesce(id_, F.lit(0)), "_none": id_.isNull(), "_key": key})
+    return own.join(kept, ["_id", "_none", "_key"], "left_semi").dropDuplicates(["_id", "_none", "_key"]).select(*docs.columns)

@@ -97,3 +97,15 @@ def test_empty_and_repeated(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q r s t u")]
     got = simhash.near_duplicates(spark.createDataFrame(rows, schema)).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1"), ("1", "1"), ("None", "1"), ("None", "None")]
+
+
+def test_representatives(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q r s t u"), (None, "q r s t u"), (2, None), (5, ""), (4, "something else again here")]
+    df = spark.createDataFrame([(*r, "l", "s", 1) for r in rows], schema)
+    out = simhash.representatives(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted([("1", "a b c d"), ("None", "q r s t u"), ("2", "None"), ("4", "something else again here")])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert kept == {r.component_id for r in simhash.near_duplicates(docs).collect()}
