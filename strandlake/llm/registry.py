@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import langid, licenses, mixing, pieces, quality, simhash, sketch, substrings, warc
+from strandlake.llm import ann, langid, licenses, mixing, pieces, quality, simhash, sketch, substrings, warc
 from strandlake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -49,9 +53,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op3_language_id, op4_quality, op5_license_scan, op6_suffix_dedup, op7_document_fingerprints, op8_source_mixing, op9_warc, op10_sentencepiece)
+    found = (op1_simhash, op2_ann, op3_language_id, op4_quality, op5_license_scan, op6_suffix_dedup, op7_document_fingerprints, op8_source_mixing, op9_warc, op10_sentencepiece)
     return {f.__name__: f for f in found}
 
 
+#: The five-bit digits of a SHA-1 in base 32, each from the two hex digits that hold it.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + (
+    ((16 * (strpos('0123456789abcdef', substring(h, cast(5 * k // 4 + 1 AS int), 1)) - 1) + strpos('0123456789abcdef', substring(h, cast(5 * k // 4 + 2 AS int), 1)) - 1)
+     >> cast(3 - 5 * k % 4 AS int)) & 31) AS int), 1)), '')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_warc": f"""SELECT page_id, cast(strlen(p) AS bigint) AS payload_bytes, {_BASE32} AS payload_digest,
+            CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+            FROM (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)"""
+    }
