@@ -1,4 +1,4 @@
-"""Tables of reads derived from the general test tables, as DataFrames and as DuckDB SQL."""
+"""Tables of reads derived from whole texts of the general test tables, as DataFrames and as DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ SELECT rec_no, title, translate(raw, '{LETTERS}', '{SEQ_LETTERS}') AS seq,
        translate(raw, '{LETTERS}', '{QUAL_LETTERS}') AS quality
 FROM (SELECT doc_id AS rec_no,
              concat('@DOC.', cast(doc_id AS {text_type}), ' ', lang, ':', cast(n_chars AS {text_type}), '/1') AS title,
-             concat(lower(regexp_replace(substring(text, 1, 400), '[^a-zA-Z]', ''{flags})),
+             concat(lower(regexp_replace(text, '[^a-zA-Z]', ''{flags})),
                     repeat('z', cast(mod(doc_id, 7) AS int))) AS raw
       FROM {documents}) r
 WHERE length(raw) > 0"""
@@ -33,13 +33,11 @@ FROM {events}"""
 
 READS_SQL = _reads_sql("documents", "varchar", ", 'g'")
 EVENT_TITLES_SQL = _event_titles_sql("events", "varchar")
+#: Colors of reads whose N are read as A; the start symbol is T, code 3.
 COLOR_READS_SQL = f"""
-SELECT rec_no,
-       'T' || array_to_string(list_transform(range(1, length(seq) + 1), lambda i:
-           cast(xor(strpos('ACGT', substring(seq, i, 1)) - 1,
-                    CASE WHEN i = 1 THEN 3 ELSE strpos('ACGT', substring(seq, i - 1, 1)) - 1 END) AS varchar)), '') AS seq,
+SELECT rec_no, 'T' || array_to_string(list_transform(list_zip(codes, list_prepend(3, codes[:-2])), lambda t: cast(xor(t[1], t[2]) AS varchar)), '') AS seq,
        '!' || quality AS quality
-FROM ({READS_SQL}) WHERE seq NOT LIKE '%N%'"""
+FROM (SELECT rec_no, quality, list_transform(string_split(replace(seq, 'N', 'A'), ''), lambda c: cast(strpos('ACGT', c) - 1 AS int)) AS codes FROM ({READS_SQL}))"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Prefix codes from histograms. The tree itself has no relational form: each small group of at most a few
-hundred symbols is built by one Arrow kernel call."""
+"""Prefix codes from histograms. The tree itself has no relational form: an Arrow kernel builds it for each
+small group, of a few hundred symbols at most."""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CODES = "model string, sb_id bigint, context string, symbol string, n bigint, code string, bits int"
+_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32())
 
 
 def codes(counts: list[int]) -> list[str]:
@@ -42,13 +44,36 @@ def codes(counts: list[int]) -> list[str]:
     return out
 
 
-def _build(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("symbol")
-    made = codes([int(c) for c in group["n"]])
-    return group.assign(code=made, bits=[len(c) for c in made])
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group and symbol; a group may go on in the next batch."""
+    names = ("model", "sb_id", "context", "symbol", "n")
+
+    def done(rows: list[tuple]) -> Iterator[tuple]:
+        for row, code in zip(rows, codes([r[4] for r in rows])):
+            yield (*row, code, len(code))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], [*names, "code", "bits"])
+
+    held: list[tuple] = []
+    for b in batches:
+        out: list[tuple] = []
+        for row in zip(*(b.column(c).to_pylist() for c in names)):
+            if held and row[:3] != held[0][:3]:
+                out += done(held)
+                held = []
+            held.append(row)
+        if out:
+            yield batch(out)
+    if held:
+        yield batch(list(done(held)))
 
 
 def huffman(histogram: DataFrame) -> DataFrame:
-    """Codes of (model, sb_id, context, symbol, n), one tree per (model, sb_id, context), symbols in byte order."""
+    """Codes of (model, sb_id, context, symbol, n), one tree per (model, sb_id, context), symbols in byte order.
+
+    Groups are many and tiny, so a task walks its sorted rows once and builds a tree whenever a group ends.
+    """
     rows = histogram.select("model", F.col("sb_id").cast("bigint"), F.col("context").cast("string"), F.col("symbol").cast("string"), F.col("n").cast("bigint"))
-    return rows.groupBy("model", "sb_id", "context").applyInPandas(_build, CODES)
+    keys = ["model", "sb_id", "context"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "symbol").mapInArrow(_build, CODES)

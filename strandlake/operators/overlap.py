@@ -7,6 +7,10 @@ earliest; the cap is a row number that Spark applies before the shuffle, so hot
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +19,25 @@ from strandlake.functions.scalars import phred_log
 K, STEP, MAX_MATCH, CAP, MIN_LOG = 36, 12, 291, 12, -1.0
 
 
-def window_logs(quality: str = "quality", k: int = K) -> Column:
-    """log10 of the probability that all of a window's bases are right, for each window of k positions."""
-    logs = F.transform(F.split(quality, ""), phred_log)
-    starts = F.expr(f"sequence(0, length({quality}) - {k})")
-    each = F.transform(starts, lambda i: F.aggregate(F.slice(logs, i + 1, k), F.lit(0.0), lambda a, x: a + x))
-    return F.when(F.length(quality) >= k, each).otherwise(F.array().cast("array<double>"))
+def _window_sums(qualities: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Rolling sums by running totals; a slice per window would cost K times as much."""
+    codes = np.arange(256)
+    good = (codes >= 34) & (codes <= 126)
+    logs = np.where(good, np.log10(1 - 10.0 ** (-(np.where(good, codes, 34) - 33) / 10.0)), -10.0)
+    for batch in qualities:
+        out = []
+        for q in batch:
+            total = np.concatenate(([0.0], np.cumsum(logs[np.frombuffer((q or "").encode(), np.uint8)])))
+            w = np.round(total[K:] - total[:-K], 9) if len(total) > K else np.zeros(0)
+            out.append((len(w), int((w > MIN_LOG).sum()), float(w.max()) if len(w) else None))
+        yield pd.DataFrame(out, columns=["windows", "eligible", "best"])
+
+
+def window_logs(reads: DataFrame) -> DataFrame:
+    """(rec_no, windows, eligible, best): windows of K positions, those whose bases are all right with a log10
+    probability above MIN_LOG, and the best log10."""
+    sums = F.pandas_udf(_window_sums, "windows int, eligible int, best double", F.PandasUDFType.SCALAR_ITER)
+    return reads.select("rec_no", sums("quality").alias("w")).select("rec_no", "w.*")
 
 
 def anchors(reads: DataFrame, k: int = K, step: int = STEP, cap: int = CAP, min_log: float = MIN_LOG) -> DataFrame:

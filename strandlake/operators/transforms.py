@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ _HEX = "0123456789ABCDEF"
 
 def n_transfer(reads: DataFrame) -> DataFrame:
     """Take every N out of ``seq`` and keep its 1-based positions in ``n_pos``."""
-    where = F.expr("filter(sequence(1, length(seq)), i -> substring(seq, i, 1) = 'N')")
+    where = F.expr("filter(transform(split(seq, ''), (c, i) -> if(c = 'N', i + 1, 0)), p -> p > 0)")
     return reads.withColumns({"n_pos": F.when(F.contains("seq", F.lit("N")), where).otherwise(F.array().cast("array<int>")), "seq": F.replace("seq", F.lit("N"), F.lit(""))})
 
 
@@ -40,26 +44,34 @@ def plus_rebuild(stored: DataFrame) -> DataFrame:
 
 def color_encode(reads: DataFrame, start: str = "T", start_quality: str = "!") -> DataFrame:
     """Bases to colors: each color is the XOR of a base's code and its predecessor's, after a start symbol."""
-    codes = f"transform(split(concat('{start}', seq), ''), c -> locate(c, '{BASES}') - 1)"
-    colors = F.expr(f"array_join(transform(sequence(1, length(seq)), i -> cast({codes}[i] ^ {codes}[i - 1] as string)), '')")
+    codes = f"transform(split(seq, ''), c -> locate(c, '{BASES}') - 1)"
+    before = f"slice(concat(array(locate('{start}', '{BASES}') - 1), {codes}), 1, length(seq))"
+    colors = F.expr(f"array_join(zip_with({codes}, {before}, (x, y) -> cast(x ^ y as string)), '')")
     colors = F.when(F.length("seq") > 0, colors).otherwise("")
     return reads.withColumns({"seq": F.concat(F.lit(start), colors), "quality": F.concat(F.lit(start_quality), "quality")})
 
 
+def _bases(colors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A running XOR, which no built-in expression does in linear time."""
+    code = np.zeros(256, np.uint8)
+    for k, c in enumerate(BASES):
+        code[ord(c)] = k
+        code[ord(str(k))] = k
+    letters = np.frombuffer(BASES.encode(), np.uint8)
+    for batch in colors:
+        yield batch.map(lambda s: letters[np.bitwise_xor.accumulate(code[np.frombuffer(s.encode(), np.uint8)])][1:].tobytes().decode(), na_action="ignore")
+
+
 def color_decode(reads: DataFrame) -> DataFrame:
     """Colors to bases by a running XOR from the start symbol, which goes with its quality."""
-    seq = F.expr(
-        f"""aggregate(split(substring(seq, 2), ''), named_struct('code', locate(substring(seq, 1, 1), '{BASES}') - 1, 'out', ''),
-            (a, c) -> if(c = '', a, named_struct('code', a.code ^ cast(c as int), 'out', concat(a.out, substring('{BASES}', (a.code ^ cast(c as int)) + 1, 1)))),
-            a -> a.out)"""
-    )
-    return reads.withColumns({"seq": seq, "quality": F.expr("substring(quality, 2)")})
+    decode = F.pandas_udf(_bases, "string", F.PandasUDFType.SCALAR_ITER)
+    return reads.withColumns({"seq": decode("seq"), "quality": F.expr("substring(quality, 2)")})
 
 
 def pack_bases(reads: DataFrame) -> DataFrame:
     """Four bases of A, C, G, T to a byte, the first in the highest bits; ``packed`` BINARY and ``n_bases``."""
     digits = f"rpad(translate(seq, '{BASES}', '0123'), cast(ceil(length(seq) / 4.0) * 4 as int), '0')"
-    half = f"array_join(transform(sequence(1, cast(length({digits}) / 2 as int)), i -> substring('{_HEX}', 4 * cast(substring({digits}, 2 * i - 1, 1) as int) + cast(substring({digits}, 2 * i, 1) as int) + 1, 1)), '')"
+    half = f"array_join(transform(regexp_extract_all({digits}, '..', 0), p -> substring('{_HEX}', 4 * cast(substring(p, 1, 1) as int) + cast(substring(p, 2, 1) as int) + 1, 1)), '')"
     packed = F.when(F.length("seq") > 0, F.expr(f"unhex({half})")).otherwise(F.lit(b""))
     return reads.withColumns({"packed": packed, "n_bases": F.length("seq")})
 

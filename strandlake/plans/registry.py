@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 def _chars(column: str, source: str, extra: str = "rec_no") -> str:
     """Rows (extra, p, ch) of the characters of a column, p from 0."""
-    return f"SELECT {extra}, i - 1 AS p, substring({column}, cast(i AS int), 1) AS ch FROM (SELECT *, unnest(range(1, length({column}) + 1)) AS i FROM {source})"
+    return f"SELECT {extra}, unnest(range(0, length({column}))) AS p, unnest(string_split({column}, '')) AS ch FROM {source} WHERE length({column}) > 0"
 
 
 def _sb(size: int = SB) -> str:
@@ -69,7 +69,7 @@ def read_length_profile(spark, sf_dir):
     return profile.read_lengths(reads(spark, sf_dir), SB)
 
 
-@query("SELECT rec_no, replace(seq, 'N', '') AS seq, array_to_string(list_filter(range(1, length(seq) + 1), lambda i: substring(seq, cast(i AS int), 1) = 'N'), ',') AS n_pos, cast(length(seq) - length(replace(seq, 'N', '')) AS int) AS n_count FROM reads")
+@query("SELECT rec_no, replace(seq, 'N', '') AS seq, array_to_string(list_filter(list_transform(string_split(seq, ''), lambda c, i: CASE WHEN c = 'N' THEN i ELSE 0 END), lambda p: p > 0), ',') AS n_pos, cast(length(seq) - length(replace(seq, 'N', '')) AS int) AS n_count FROM reads")
 def n_transfer(spark, sf_dir):
     r = reads(spark, sf_dir).select("rec_no", "seq", n_count(F.col("seq")).alias("n_count"))
     return transforms.n_transfer(r).select("rec_no", "seq", F.array_join(F.col("n_pos").cast("array<string>"), ",").alias("n_pos"), "n_count")
@@ -97,7 +97,7 @@ def tail_trim(spark, sf_dir):
     return reads(spark, sf_dir).select("rec_no", kept_length(q).alias("kept"), last_kept(q).alias("last_kept"))
 
 
-_RUN_ESTIMATE = "len(list_filter(range(1, length(quality) + 1), lambda i: i = 1 OR substring(quality, cast(i AS int), 1) <> substring(quality, cast(i - 1 AS int), 1))) - CASE WHEN quality LIKE '%#' THEN 1 ELSE 0 END"
+_RUN_ESTIMATE = "1 + len(list_filter(list_zip(string_split(quality, '')[2:], string_split(quality, '')[:-2]), lambda t: t[1] <> t[2])) - CASE WHEN quality LIKE '%#' THEN 1 ELSE 0 END"
 
 
 @query(f"SELECT rec_no, cast({_RUN_ESTIMATE} AS int) AS runs FROM reads")
@@ -292,7 +292,8 @@ def bit_lengths(spark, sf_dir):
 
 
 def _plain(spark, sf_dir):
-    return reads(spark, sf_dir).where("seq not like '%N%'").select("rec_no", "seq", "quality")
+    """Reads over four letters: N is read as A."""
+    return reads(spark, sf_dir).select("rec_no", F.replace("seq", F.lit("N"), F.lit("A")).alias("seq"), "quality")
 
 
 @query("SELECT rec_no, seq, quality FROM color_reads")
@@ -300,7 +301,7 @@ def color_encode(spark, sf_dir):
     return transforms.color_encode(_plain(spark, sf_dir))
 
 
-@query("SELECT rec_no, seq, quality FROM reads WHERE seq NOT LIKE '%N%'")
+@query("SELECT rec_no, replace(seq, 'N', 'A') AS seq, quality FROM reads")
 def color_decode(spark, sf_dir):
     return transforms.color_decode(transforms.color_encode(_plain(spark, sf_dir)))
 
@@ -316,15 +317,14 @@ def color_space(spark, sf_dir):
 
 
 @query(
-    """, d AS (SELECT rec_no, length(seq) AS n, rpad(translate(seq, 'ACGT', '0123'), cast(ceil(length(seq) / 4.0) * 4 AS int), '0') AS d FROM reads WHERE seq NOT LIKE '%N%')
-    SELECT rec_no, cast(n AS int) AS n_bases, array_to_string(list_transform(range(1, cast(length(d) // 2 + 1 AS bigint)), lambda i:
-        substring('0123456789ABCDEF', cast(4 * substring(d, cast(2 * i - 1 AS int), 1)::int + substring(d, cast(2 * i AS int), 1)::int + 1 AS int), 1)), '') AS packed FROM d"""
+    """, d AS (SELECT rec_no, length(seq) AS n, list_transform(string_split(rpad(translate(seq, 'ACGTN', '01230'), cast(ceil(length(seq) / 4.0) * 4 AS int), '0'), ''), lambda c: cast(c AS int)) AS d FROM reads)
+    SELECT rec_no, cast(n AS int) AS n_bases, array_to_string(list_transform(range(1, cast(len(d) // 2 + 1 AS bigint)), lambda i: substring('0123456789ABCDEF', 4 * d[2 * i - 1] + d[2 * i] + 1, 1)), '') AS packed FROM d"""
 )
 def pack_two_bit(spark, sf_dir):
     return transforms.pack_bases(_plain(spark, sf_dir)).select("rec_no", "n_bases", F.hex("packed").alias("packed"))
 
 
-@query("SELECT rec_no, seq FROM reads WHERE seq NOT LIKE '%N%'")
+@query("SELECT rec_no, replace(seq, 'N', 'A') AS seq FROM reads")
 def unpack_two_bit(spark, sf_dir):
     return transforms.unpack_bases(transforms.pack_bases(_plain(spark, sf_dir)).drop("seq")).select("rec_no", "seq")
 
@@ -335,10 +335,9 @@ _LOGS = f""", l AS (SELECT rec_no, p, {_LOG} AS v FROM ({_chars('quality', 'read
                  count(*) OVER (PARTITION BY rec_no ORDER BY p ROWS BETWEEN CURRENT ROW AND 35 FOLLOWING) AS k FROM l)"""
 
 
-@query(_LOGS + " SELECT rec_no, cast(count(*) AS int) AS windows, cast(count(*) FILTER (s > -1) AS int) AS eligible, round(max(s), 6) AS best FROM w WHERE k = 36 GROUP BY 1")
+@query(_LOGS + " SELECT rec_no, cast(count(*) AS int) AS windows, cast(count(*) FILTER (round(s, 9) > -1) AS int) AS eligible, round(max(s), 6) AS best FROM w WHERE k = 36 GROUP BY 1")
 def window_probability(spark, sf_dir):
-    r = reads(spark, sf_dir).where("length(quality) >= 36").select("rec_no", overlap.window_logs().alias("w"))
-    return r.select("rec_no", F.size("w").alias("windows"), F.size(F.filter("w", lambda x: x > -1)).alias("eligible"), F.round(F.array_max("w"), 6).alias("best"))
+    return overlap.window_logs(reads(spark, sf_dir)).where("windows > 0").select("rec_no", "windows", "eligible", F.round("best", 6).alias("best"))
 
 
 _ANCHORS = (
