@@ -279,7 +279,7 @@ def repeats(docs: DataFrame, hot_spans: int = HOT_SPANS) -> DataFrame:
     keyed = _keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "bytes", "t1", "t2")
     met = map_batches(keyed.select("bytes"), _anchors, "anchor long, span long").groupBy("anchor")
     met = met.agg(F.count("*").alias("c"), F.min("span").alias("low"), F.max("span").alias("high")).where("c > 1")
-    met = met.select("anchor", (F.col("low") != F.col("high")).alias("differ"))
+    met = cut(met.select("anchor", (F.col("low") != F.col("high")).alias("differ")))  # cut: a join of two plain shuffles can split hot anchors
     schema = f"{_OWN}, anchor long, span long, start long, n long, lead long"
     found = cut(map_batches(keyed, _occurrences, schema).join(met, "anchor"))
     whole = found.where(~F.col("differ")).select("t1", "t2", "start", "n")
@@ -287,7 +287,7 @@ def repeats(docs: DataFrame, hot_spans: int = HOT_SPANS) -> DataFrame:
     differ = found.where("differ")
     kinds = cut(differ.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "doc_id", "start", "n", "lead")).alias("one")))
     again = differ.join(kinds.where("c > 1").select("anchor", "span"), ["anchor", "span"]).select("t1", "t2", "start", "n")
-    buckets = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("least = 1")
+    buckets = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("least = 1"))
     wanted = kinds.join(buckets.select("anchor", (F.col("kinds") > hot_spans).alias("hot")), "anchor")
     wanted = cut(wanted.select("hot", "anchor", "one.*", (F.col("c") > 1).alias("known")))
 
