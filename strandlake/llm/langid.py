@@ -22,7 +22,7 @@ from strandlake.llm.common import map_batches
 DIMS, PIECE = 4096, 1 << 20
 #: Labelled rows to learn from: so many of each language, and so many in all.
 PER_LANGUAGE, IN_ALL = 400, 8000
-UNKNOWN = "und"
+UNKNOWN, _SHARES = "und", 1 << 30
 #: Language families by ISO 639-1 code. Codes not listed are families of their own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -149,13 +149,20 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model | None:
-    """Learn from the rows with a language that are not held out: of each language the ``per_language`` texts
-    whose hashes are least, ``in_all`` at most. None if there is nothing to learn from."""
+    """Learn from the rows with a language that are not held out: of each language ``per_language`` different
+    texts picked by their hashes, ``in_all`` at most. None if there is nothing to learn from."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keys = rows.select("lang", F.xxhash64("text").alias("key")).distinct()  # copies count once
+    # a hash share of each language's rows, twice what is wanted, leaves few rows to rank however many tasks there are
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(in_all).collect()
+    if not counts:
+        return None
+    most = min(per_language, max(1, in_all // len(counts)))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(_SHARES, 2 * most * _SHARES // r.n + 1))])
+    key = F.xxhash64("text")
+    keys = rows.select("lang", key.alias("key")).where(F.pmod("key", F.lit(_SHARES)) < share[F.col("lang")]).distinct()  # copies count once
     first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    picked = keys.withColumn("n", first).where(F.col("n") <= per_language).orderBy("n", "lang").limit(in_all).select("lang", "key").collect()
+    picked = keys.withColumn("n", first).where(F.col("n") <= most).select("lang", "key").collect()
     if not picked:
         return None
     chosen = rows.sparkSession.createDataFrame([tuple(r) for r in picked], "lang string, key long")
