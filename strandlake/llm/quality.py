@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     one document the largest counts."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    share = min(1.0, most / max(1, known.count()))  # a hash share first: what is left to sort is bounded
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
     if not picked:
         return None
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked], "doc_id long, label int")

@@ -193,7 +193,7 @@ def links(prints: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     whole = F.array(F.struct("mask", "pattern"))
     rows = rows.select("fp", F.explode(F.when(F.col("hot"), deeper).otherwise(whole)).alias("n")).select("n.*", "fp")
     rows = rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
-    return map_batches(rows, _link, "u long, v long", 1 << 16)
+    return map_batches(rows, _link, "u long, v long", 4096)
 
 
 def _named(signed: DataFrame, split_at: int) -> DataFrame:
