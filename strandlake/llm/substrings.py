@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, map_batches
+from strandlake.llm.common import cut, map_batches, stored
 
 LENGTH, GRAM, PERIOD = 200, 64, 64
 HOT_SPANS, BLOCK_BYTES, PIECE = 2000, 2 << 20, 1 << 16
@@ -281,15 +281,15 @@ def repeats(docs: DataFrame, hot_spans: int = HOT_SPANS) -> DataFrame:
     met = met.agg(F.count("*").alias("c"), F.min("span").alias("low"), F.max("span").alias("high")).where("c > 1")
     met = cut(met.select("anchor", (F.col("low") != F.col("high")).alias("differ")))  # cut: a join of two plain shuffles can split hot anchors
     schema = f"{_OWN}, anchor long, span long, start long, n long, lead long"
-    found = cut(map_batches(keyed, _occurrences, schema).join(met, "anchor"))
+    found = stored(map_batches(keyed, _occurrences, schema).join(met, "anchor"))
     whole = found.where(~F.col("differ")).select("t1", "t2", "start", "n")
 
     differ = found.where("differ")
-    kinds = cut(differ.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "doc_id", "start", "n", "lead")).alias("one")))
+    kinds = stored(differ.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "doc_id", "start", "n", "lead")).alias("one")))
     again = differ.join(kinds.where("c > 1").select("anchor", "span"), ["anchor", "span"]).select("t1", "t2", "start", "n")
     buckets = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("least = 1"))
     wanted = kinds.join(buckets.select("anchor", (F.col("kinds") > hot_spans).alias("hot")), "anchor")
-    wanted = cut(wanted.select("hot", "anchor", "one.*", (F.col("c") > 1).alias("known")))
+    wanted = stored(wanted.select("hot", "anchor", "one.*", (F.col("c") > 1).alias("known")))
 
     def lists(rows: DataFrame) -> DataFrame:
         return rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "doc_id", "start", "n", "lead", "known")).alias("wanted"))
@@ -298,7 +298,7 @@ def repeats(docs: DataFrame, hot_spans: int = HOT_SPANS) -> DataFrame:
     pieces = pieces.repartition("anchor").sortWithinPartitions("anchor")
     parts = [whole, again, map_batches(pieces, _sorted_blocks, "t1 long, t2 long, start long, n long", 4096)]
     if not wanted.where("hot").isEmpty():
-        windows = cut(map_batches(_joined(keyed, lists(wanted.where("hot")), "inner"), _windows, "w1 long, w2 long, t1 long, t2 long, start long"))
+        windows = stored(map_batches(_joined(keyed, lists(wanted.where("hot")), "inner"), _windows, "w1 long, w2 long, t1 long, t2 long, start long"))
         twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
         parts.append(windows.join(twice, ["w1", "w2"]).select("t1", "t2", "start", F.lit(1).cast("long").alias("n")))
     every = parts[0]
