@@ -77,3 +77,16 @@ def huffman(histogram: DataFrame) -> DataFrame:
     rows = histogram.select("model", F.col("sb_id").cast("bigint"), F.col("context").cast("string"), F.col("symbol").cast("string"), F.col("n").cast("bigint"))
     keys = ["model", "sb_id", "context"]
     return rows.repartition(*keys).sortWithinPartitions(*keys, "symbol").mapInArrow(_build, CODES)
+
+
+def decode(bits: str, table: dict[str, str]) -> list[str]:
+    """The symbols that a string of 0 and 1 spells under a table from symbol to code."""
+    symbol, out, at = {code: s for s, code in table.items()}, [], ""
+    for bit in bits:
+        at += bit
+        if at in symbol:
+            out.append(symbol[at])
+            at = ""
+    if at:
+        raise ValueError("bits end inside a code")
+    return out

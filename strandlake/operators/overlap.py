@@ -8,6 +8,7 @@ earliest; the cap is a row number that Spark applies before the shuffle, so hot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.scalars import phred_log
+from strandlake.sources.archive import scratch
 
 K, STEP, MAX_MATCH, CAP, MIN_LOG = 36, 12, 291, 12, -1.0
 
@@ -84,8 +86,45 @@ def strip(reads: DataFrame, overlaps: DataFrame) -> DataFrame:
     return rows.select("rec_no", "ref_rec_no", "ref_off", "match_len", tail.alias("tail"))
 
 
-def restore(stripped: DataFrame, sources: DataFrame) -> DataFrame:
-    """(rec_no, seq) of stripped reads, from the whole reads they refer to."""
-    ref = sources.select(F.col("rec_no").alias("ref_rec_no"), F.col("seq").alias("ref"))
-    prefix = F.coalesce(F.expr("substring(ref, ref_off + 1, match_len)"), F.lit(""))
-    return stripped.join(ref, "ref_rec_no", "left").select("rec_no", F.concat(prefix, "tail").alias("seq"))
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "overlap")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def restore(stripped: DataFrame) -> DataFrame:
+    """(rec_no, seq) of all reads, from stripped ones alone.
+
+    A read's source may be stripped too. Every round fills the reads whose source the last round made whole, so
+    each read is written once, and there are as many rounds as the longest chain of sources.
+    """
+    made = [_stored(stripped.where(F.col("ref_rec_no").isNull()).select("rec_no", F.col("tail").alias("seq")))]
+    left = _stored(stripped.where(F.col("ref_rec_no").isNotNull()))
+    while not left.isEmpty():
+        source = made[-1].select(F.col("rec_no").alias("ref_rec_no"), F.col("seq").alias("ref"))
+        whole = F.concat(F.expr("substring(ref, ref_off + 1, match_len)"), "tail")
+        now = _stored(left.join(source, "ref_rec_no").select("rec_no", whole.alias("seq")))
+        if now.isEmpty():
+            raise ValueError("a read refers to one that is not there")
+        made.append(now)
+        left = _stored(left.join(now.select("rec_no"), "rec_no", "left_anti"))
+    return reduce(DataFrame.union, made)
+
+
+def lookup(stripped: DataFrame, rec_no: int) -> DataFrame:
+    """(rec_no, seq) of one read: its row, and by a second filtered scan the tail of the read it refers to.
+
+    Where that read is itself stripped, its own prefix is looked up first, so the chain is followed to its end.
+    """
+    chain, at = [], rec_no
+    while at is not None:
+        row = stripped.where(F.col("rec_no") == at).first()
+        if row is None:
+            break
+        chain.append(row)
+        at = row.ref_rec_no
+    seq = None
+    for row in reversed(chain):
+        prefix = seq[row.ref_off : row.ref_off + row.match_len] if row.ref_rec_no is not None else ""
+        seq = prefix + row.tail
+    return stripped.sparkSession.createDataFrame([(rec_no, seq)] if chain else [], "rec_no bigint, seq string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.scalars import BLOCK, SUPERBLOCK, block_id, kept_length, last_kept, run_estimate, symbols
+from strandlake.functions.scalars import BLOCK, SUPERBLOCK, bit_length, block_id, kept_length, last_kept, run_estimate, symbols
 
 
 def superblocks(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
@@ -107,3 +107,27 @@ def superblock_header(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
     )
     facts = facts.withColumns({"overlaps": F.col("max_len") > 36, "method": chosen_method()})
     return running_max(facts).drop("sampled", "raw", "trunc", "runs")
+
+
+def record_numbers(reads: DataFrame, size: int = SUPERBLOCK, block: int = BLOCK) -> DataFrame:
+    """(rec_no, sb_id, block_id, block_in_sb, slot): where a record lies."""
+    n = F.col("rec_no")
+    return reads.select("rec_no", block_id(n, size).alias("sb_id"), block_id(n, block).alias("block_id"), F.floor(n % size / block).cast("int").alias("block_in_sb"), (n % block).cast("int").alias("slot"))
+
+
+def truncated(reads: DataFrame) -> DataFrame:
+    """Qualities without trailing #, and how many were dropped; one symbol stays where all are #."""
+    kept = kept_length(F.col("quality"))
+    return reads.withColumns({"dropped": F.greatest(F.length("quality") - kept, F.lit(0)), "quality": F.substring("quality", F.lit(1), kept)})
+
+
+def refilled(cut: DataFrame) -> DataFrame:
+    """Inverse of ``truncated``."""
+    return cut.withColumn("quality", F.concat("quality", F.repeat(F.lit("#"), F.col("dropped")))).drop("dropped")
+
+
+def histogram_bits(histogram: DataFrame) -> DataFrame:
+    """(sb_id, pos, bits): each histogram at the width of its largest count, after a byte for that width and the
+    number of symbols in as many bits as their count takes."""
+    stats = histogram.groupBy("sb_id", "pos").agg(F.count("*").alias("k"), F.max("n").alias("m"))
+    return stats.select("sb_id", "pos", (8 + bit_length(F.col("k")) + F.col("k") * bit_length(F.col("m"))).cast("bigint").alias("bits"))

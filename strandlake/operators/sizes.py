@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.scalars import SUPERBLOCK, bit_length
 from strandlake.operators import profile, runs
 from strandlake.operators.huffman import huffman
-from strandlake.operators.titles import char_histogram, split_expected
+from strandlake.operators.titles import char_histogram, frequencies, numeric_values, split_expected, value_or_delta
 
 
 def models(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
@@ -22,7 +22,11 @@ def models(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
     lengths = runs.run_histogram(coded, per).select(F.lit("run_length").alias("model"), "sb_id", F.col("symbol").alias("context"), F.lpad(F.col("run_len").cast("string"), 3, "0").alias("symbol"), "n")
     chars = char_histogram(split_expected(reads.select("rec_no", "title"), size))
     title = chars.select(F.lit("title_char").alias("model"), "sb_id", F.concat_ws(":", "field_no", "pos").alias("context"), F.col("ch").alias("symbol"), "n")
-    return reduce(DataFrame.union, [plain, bigrams, lengths, title])
+    values = numeric_values(reads.select("rec_no", "title"), size)
+    coding = value_or_delta(values).select("sb_id", "field_no", "coding")
+    both = frequencies(values).withColumn("coding", F.lit("value")).union(frequencies(values, deltas=True).withColumn("coding", F.lit("delta")))
+    number = both.join(coding, ["sb_id", "field_no", "coding"]).select(F.lit("title_value").alias("model"), "sb_id", F.col("field_no").cast("string").alias("context"), F.lpad((F.col("value") + F.lit(1 << 60)).cast("string"), 20, "0").alias("symbol"), "n")
+    return reduce(DataFrame.union, [plain, bigrams, lengths, title, number])
 
 
 def size_report(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
@@ -31,3 +35,10 @@ def size_report(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
     bases = profile.base_composition(reads, size).where("base <> 'N'").groupBy("sb_id").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
     bases = bases.select("sb_id", F.lit("bases").alias("stream"), (F.col("n") * F.greatest(bit_length(F.col("k") - 1), F.lit(2))).cast("bigint").alias("bits"))
     return coded.union(bases)
+
+
+def compression(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
+    """(sb_id, input_bytes, coded_bytes, ratio) with qualities by position and titles by character."""
+    text = profile.superblocks(reads, size).groupBy("sb_id").agg(F.sum(F.length("title") + F.length("seq") + F.length("plus") + F.length("quality") + 4).cast("bigint").alias("input_bytes"))
+    coded = size_report(reads, size).where(F.col("stream").isin("quality_plain", "title_char", "bases")).groupBy("sb_id").agg(F.ceil(F.sum("bits") / 8).cast("bigint").alias("coded_bytes"))
+    return text.join(coded, "sb_id").withColumn("ratio", F.round(F.col("input_bytes") / F.col("coded_bytes"), 4))

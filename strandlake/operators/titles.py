@@ -133,3 +133,14 @@ def rejoin(titles: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
     parts = split_expected(titles, size).join(expected_fields(titles, size).drop("txt0"), ["sb_id", "field_no"])
     ordered = F.array_sort(F.collect_list(F.struct("field_no", "txt", "sep")))
     return parts.groupBy("rec_no").agg(ordered.alias("f")).select("rec_no", F.expr("array_join(transform(f, x -> concat(x.txt, x.sep)), '')").alias("title"))
+
+
+def frequencies(values: DataFrame, deltas: bool = False) -> DataFrame:
+    """(sb_id, field_no, value, n) of each numeric field, or of its deltas; none for fields of over 512 distinct ones."""
+    rows = values
+    if deltas:
+        before = F.lag("value").over(Window.partitionBy("sb_id", "field_no").orderBy("rec_no"))
+        rows = values.withColumn("value", F.col("value") - before).where("value is not null")
+    counts = rows.groupBy("sb_id", "field_no", "value").agg(F.count("*").alias("n"))
+    few = counts.groupBy("sb_id", "field_no").agg(F.count("*").alias("k")).where(F.col("k") <= MAX_DISTINCT).drop("k")
+    return counts.join(few, ["sb_id", "field_no"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlake.fixtures import COLOR_READS_SQL, EVENT_TITLES_SQL, READS_SQL, event_titles, reads, table
 from strandlake.functions.scalars import SUPERBLOCK, bit_length, kept_length, last_kept, n_count, run_estimate
-from strandlake.operators import deltas, huffman, overlap, profile, runs, sizes, titles, transforms
+from strandlake.operators import deltas, huffman, overlap, profile, runs, sizes, title_coding, titles, transforms
 from strandlake.sources import archive, fastq
 
 SB = 256
@@ -373,7 +373,7 @@ def overlap_best(spark, sf_dir):
 @query("SELECT rec_no, seq FROM reads")
 def overlap_restore(spark, sf_dir):
     r = reads(spark, sf_dir).select("rec_no", "seq", "quality")
-    return overlap.restore(overlap.strip(r, overlap.best_overlaps(r)), r)
+    return overlap.restore(overlap.strip(r, overlap.best_overlaps(r)))
 
 
 @query()
@@ -435,3 +435,61 @@ def fastq_round_trip(spark, sf_dir):
     path = archive.scratch(spark, "fastq")
     fastq.write(reads(spark, sf_dir), path)
     return fastq.read_lines(spark, path).select("title", "seq", "plus", "quality")
+
+
+@query("SELECT rec_no, title FROM titles")
+def title_decode(spark, sf_dir):
+    source = event_titles(spark, sf_dir)
+    return title_coding.decode(title_coding.encode(source), source)
+
+
+@query()
+def title_encode(spark, sf_dir):
+    return title_coding.encode(event_titles(spark, sf_dir)).rows
+
+
+_FREQ = " SELECT sb_id, field_no, value, cast(n AS bigint) AS n FROM (SELECT *, count(*) OVER (PARTITION BY sb_id, field_no) AS k FROM (SELECT sb_id, field_no, value, count(*) AS n FROM {source} GROUP BY ALL)) WHERE k <= 512"
+
+
+@query(_NUMBERS + _FREQ.format(source="n"))
+def title_value_frequencies(spark, sf_dir):
+    return titles.frequencies(titles.numeric_values(event_titles(spark, sf_dir)))
+
+
+@query(_NUMBERS + ", d AS (SELECT sb_id, field_no, value - lag(value) OVER (PARTITION BY sb_id, field_no ORDER BY rec_no) AS value FROM n)" + _FREQ.format(source="(SELECT * FROM d WHERE value IS NOT NULL)"))
+def title_delta_frequencies(spark, sf_dir):
+    return titles.frequencies(titles.numeric_values(event_titles(spark, sf_dir)), deltas=True)
+
+
+@query("SELECT rec_no, cast(rec_no // 16384 AS bigint) AS sb_id, cast(rec_no // 32 AS bigint) AS block_id, cast(rec_no % 16384 // 32 AS int) AS block_in_sb, cast(rec_no % 32 AS int) AS slot FROM titles")
+def record_numbers(spark, sf_dir):
+    return profile.record_numbers(event_titles(spark, sf_dir))
+
+
+@query("SELECT rec_no, substring(quality, 1, cast(greatest(length(rtrim(quality, '#')), 1) AS int)) AS quality, cast(greatest(length(quality) - greatest(length(rtrim(quality, '#')), 1), 0) AS int) AS dropped FROM reads")
+def tail_truncate(spark, sf_dir):
+    return profile.truncated(reads(spark, sf_dir).select("rec_no", "quality")).select("rec_no", "quality", "dropped")
+
+
+@query("SELECT rec_no, quality FROM reads")
+def tail_restore(spark, sf_dir):
+    return profile.refilled(profile.truncated(reads(spark, sf_dir).select("rec_no", "quality"))).select("rec_no", "quality")
+
+
+@query(_hist("reads").replace("SELECT sb_id, pos, symbol, cast(count(*) AS bigint) AS n FROM c GROUP BY ALL", ", h AS (SELECT sb_id, pos, symbol, cast(count(*) AS bigint) AS n FROM c GROUP BY ALL", 1) + f""")
+    SELECT sb_id, pos, cast(8 + {_bits('count(*)')} + count(*) * {_bits('max(n)')} AS bigint) AS bits FROM h GROUP BY sb_id, pos""")
+def histogram_sizes(spark, sf_dir):
+    return profile.histogram_bits(profile.quality_histogram(reads(spark, sf_dir), SB))
+
+
+@query()
+def compression_ratio(spark, sf_dir):
+    return sizes.compression(reads(spark, sf_dir), SB)
+
+
+@query("SELECT rec_no, seq FROM reads WHERE rec_no = 150")
+def overlap_lookup(spark, sf_dir):
+    r = reads(spark, sf_dir).select("rec_no", "seq", "quality")
+    path = archive.scratch(spark, "stripped")
+    overlap.strip(r, overlap.best_overlaps(r)).repartitionByRange("rec_no").sortWithinPartitions("rec_no").write.parquet(path)
+    return overlap.lookup(spark.read.parquet(path), 150)

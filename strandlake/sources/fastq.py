@@ -110,3 +110,12 @@ def lines(reads: DataFrame) -> DataFrame:
 def write(reads: DataFrame, path: str) -> None:
     """FASTQ text in the order of rec_no, over range-sorted part files."""
     lines(reads).repartitionByRange("rec_no").sortWithinPartitions("rec_no").select("value").write.mode("overwrite").text(path)
+
+
+def numbered(reads: DataFrame) -> DataFrame:
+    """Dense record numbers over all files, in order of file name and place; one row per file is summed."""
+    counts = reads.groupBy("file").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("file", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("rec_no")) - 1
+    return reads.withColumn("inside", inside).join(counts, "file").withColumn("rec_no", (F.col("before") + F.col("inside")).cast("bigint")).drop("before", "inside", "file")

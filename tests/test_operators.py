@@ -7,9 +7,10 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strandlake.__main__ import main
 from strandlake.functions.scalars import bit_length, kept_length, last_kept, run_estimate
-from strandlake.operators import deltas, overlap, profile, runs, sizes, titles, transforms
-from strandlake.operators.huffman import codes, huffman
+from strandlake.operators import deltas, overlap, profile, runs, sizes, title_coding, titles, transforms
+from strandlake.operators.huffman import codes, decode, huffman
 from strandlake.sources import archive, fastq
 from strandlake.streaming import superblocks
 
@@ -219,3 +220,43 @@ def test_stream(spark, tmp_path):
     want = superblocks.facts(df, 32)
     assert sorted(superblocks.merge(parts).select(*want.columns).collect()) == sorted(want.collect())
     assert parts.count() > want.count()
+
+
+def test_title_coding_of_odd_titles(spark):
+    rows = [(i, f"@X{i % 3}.{100 + i // 2} ab{'cd'[i % 2]}{'z' * (i % 4)}:7/{i % 2 + 1}") for i in range(100)] + [(100, "@odd"), (101, "@X1.0150 abc:7/1"), (102, "@X1.9 q:8/2")]
+    df = spark.createDataFrame(rows, "rec_no long, title string")
+    for size in (64, 16384):
+        assert sorted(title_coding.decode(title_coding.encode(df, size), df, size).collect()) == sorted(df.collect())
+
+
+def test_decode_bits():
+    table = {"a": "0", "b": "10", "c": "11"}
+    assert decode("010110", table) == ["a", "b", "c", "a"]
+    with pytest.raises(ValueError, match="inside"):
+        decode("01", table)
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in.fq").write_text("".join(f"@{i} x\nACGT\n+\nII#{'!'}\n" for i in range(50)) + "@bad\nAC\n+\nI\n")
+    main(["e", str(tmp_path / "in.fq"), str(tmp_path / "a")])
+    main(["d", str(tmp_path / "a"), str(tmp_path / "out")])
+    main(["d", "-r", "7", str(tmp_path / "a"), str(tmp_path / "one")])
+    read = lambda n: sorted(r.value for r in spark.read.text(str(tmp_path / n)).collect())
+    assert read("out") == sorted((tmp_path / "in.fq").read_text().split("\n")[:200])
+    assert read("one") == sorted(["@7 x", "ACGT", "+", "II#!"])
+    with pytest.raises(SystemExit):
+        main(["e", "--mode", "FAILFAST", str(tmp_path / "in.fq"), str(tmp_path / "b")])
+    main(["e", "--wrapped", str(tmp_path / "in.fq"), str(tmp_path / "c")])
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 50
+
+
+def test_overlap_chain_lookup(spark):
+    rng = random.Random(3)
+    source = "".join(rng.choice("ACGT") for _ in range(300))
+    df = reads(spark, [(s, "I" * len(s)) for s in (source[:200], source[24:224], source[36:236])])
+    stripped = overlap.strip(df, overlap.best_overlaps(df)).cache()
+    assert stripped.where("ref_rec_no is not null").count() == 2
+    for i, r in enumerate(df.orderBy("rec_no").collect()):
+        assert overlap.lookup(stripped, i).first().seq == r.seq
+    assert overlap.lookup(stripped, 9).collect() == []
+    assert sorted(overlap.restore(stripped).collect()) == sorted(df.select("rec_no", "seq").collect())
