@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.scalars import phred_log
@@ -53,11 +54,10 @@ def anchors(reads: DataFrame, k: int = K, step: int = STEP, cap: int = CAP, min_
     return each.withColumn("place", place).where(F.col("place") <= cap).drop("place")
 
 
-def _common(a: str, b: str) -> Column:
+def _common(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Length of the common prefix."""
-    n = F.least(F.length(a), F.length(b))
-    differ = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), F.lit(False))
-    return F.when(F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n), n).otherwise((differ - 1).cast("int"))
+    for a, b in batches:
+        yield pd.Series([len(commonprefix(pair)) for pair in zip(a, b)], dtype="int32")
 
 
 def best_overlaps(reads: DataFrame, k: int = K, step: int = STEP, cap: int = CAP, min_log: float = MIN_LOG) -> DataFrame:
@@ -74,7 +74,8 @@ def best_overlaps(reads: DataFrame, k: int = K, step: int = STEP, cap: int = CAP
     ref = reads.select(F.col("rec_no").alias("ref_rec_no"), F.col("seq").alias("ref"))
     met = met.join(own, "rec_no").join(ref, "ref_rec_no").withColumn("b", F.substring("ref", F.col("ref_off") + 1, F.lit(MAX_MATCH)))
     before_n = lambda c: F.substring_index(c, "N", 1)
-    met = met.withColumns({"a": before_n("a"), "b": before_n("b")}).withColumn("match_len", _common("a", "b")).where(F.col("match_len") >= k)
+    met = met.withColumns({"a": before_n("a"), "b": before_n("b")}).where(F.substring("a", 1, k) == F.substring("b", 1, k))
+    met = met.withColumn("match_len", F.pandas_udf(_common, "int", F.PandasUDFType.SCALAR_ITER)("a", "b"))
     best = met.groupBy("rec_no").agg(F.min(F.struct((-F.col("match_len")).alias("m"), "i", "ref_rec_no", "ref_off")).alias("b"))
     return best.select("rec_no", "b.ref_rec_no", "b.ref_off", (-F.col("b.m")).alias("match_len"))
 

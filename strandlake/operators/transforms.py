@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.scalars import BASES
 
-_HEX = "0123456789ABCDEF"
-
 
 def n_transfer(reads: DataFrame) -> DataFrame:
     """Take every N out of ``seq`` and keep its 1-based positions in ``n_pos``."""
@@ -42,43 +40,61 @@ def plus_rebuild(stored: DataFrame) -> DataFrame:
     return stored.withColumn("plus", F.coalesce("plus_text", made)).drop("plus_text", "plus_only")
 
 
+_LETTERS = np.frombuffer(BASES.encode(), np.uint8)
+_CODE = np.zeros(256, np.uint8)  # of bases and of the digits that stand for colors
+for _k, _c in enumerate(BASES):
+    _CODE[[ord(_c), ord(str(_k))]] = _k
+
+
+def _codes(text: str) -> np.ndarray:
+    return _CODE[np.frombuffer(text.encode(), np.uint8)]
+
+
+def _each(kind: str, one: Callable) -> Callable:
+    """A function of one string as an Arrow UDF; running XORs and bit packing have no built-in form of linear cost."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)
+
+
 def color_encode(reads: DataFrame, start: str = "T", start_quality: str = "!") -> DataFrame:
     """Bases to colors: each color is the XOR of a base's code and its predecessor's, after a start symbol."""
-    codes = f"transform(split(seq, ''), c -> locate(c, '{BASES}') - 1)"
-    before = f"slice(concat(array(locate('{start}', '{BASES}') - 1), {codes}), 1, length(seq))"
-    colors = F.expr(f"array_join(zip_with({codes}, {before}, (x, y) -> cast(x ^ y as string)), '')")
-    colors = F.when(F.length("seq") > 0, colors).otherwise("")
-    return reads.withColumns({"seq": F.concat(F.lit(start), colors), "quality": F.concat(F.lit(start_quality), "quality")})
 
+    def colors(seq: str) -> str:
+        code = _codes(start + seq)
+        return start + ((code[1:] ^ code[:-1]) + np.uint8(ord("0"))).tobytes().decode()
 
-def _bases(colors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A running XOR, which no built-in expression does in linear time."""
-    code = np.zeros(256, np.uint8)
-    for k, c in enumerate(BASES):
-        code[ord(c)] = k
-        code[ord(str(k))] = k
-    letters = np.frombuffer(BASES.encode(), np.uint8)
-    for batch in colors:
-        yield batch.map(lambda s: letters[np.bitwise_xor.accumulate(code[np.frombuffer(s.encode(), np.uint8)])][1:].tobytes().decode(), na_action="ignore")
+    return reads.withColumns({"seq": _each("string", colors)("seq"), "quality": F.concat(F.lit(start_quality), "quality")})
 
 
 def color_decode(reads: DataFrame) -> DataFrame:
     """Colors to bases by a running XOR from the start symbol, which goes with its quality."""
-    decode = F.pandas_udf(_bases, "string", F.PandasUDFType.SCALAR_ITER)
-    return reads.withColumns({"seq": decode("seq"), "quality": F.expr("substring(quality, 2)")})
+
+    def bases(seq: str) -> str:
+        return _LETTERS[np.bitwise_xor.accumulate(_codes(seq))][1:].tobytes().decode()
+
+    return reads.withColumns({"seq": _each("string", bases)("seq"), "quality": F.expr("substring(quality, 2)")})
 
 
 def pack_bases(reads: DataFrame) -> DataFrame:
     """Four bases of A, C, G, T to a byte, the first in the highest bits; ``packed`` BINARY and ``n_bases``."""
-    digits = f"rpad(translate(seq, '{BASES}', '0123'), cast(ceil(length(seq) / 4.0) * 4 as int), '0')"
-    half = f"array_join(transform(regexp_extract_all({digits}, '..', 0), p -> substring('{_HEX}', 4 * cast(substring(p, 1, 1) as int) + cast(substring(p, 2, 1) as int) + 1, 1)), '')"
-    packed = F.when(F.length("seq") > 0, F.expr(f"unhex({half})")).otherwise(F.lit(b""))
-    return reads.withColumns({"packed": packed, "n_bases": F.length("seq")})
+
+    def pack(seq: str) -> bytes:
+        code = _codes(seq)
+        four = np.concatenate((code, np.zeros(-len(code) % 4, np.uint8))).reshape(-1, 4)
+        return (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).tobytes()
+
+    return reads.withColumns({"packed": _each("binary", pack)("seq"), "n_bases": F.length("seq")})
 
 
 def unpack_bases(packed: DataFrame) -> DataFrame:
     """Inverse of ``pack_bases``."""
-    nibble = f"(locate(h, '{_HEX}') - 1)"
-    pairs = f"transform(split(hex(packed), ''), h -> concat(substring('{BASES}', cast(floor({nibble} / 4) as int) + 1, 1), substring('{BASES}', {nibble} % 4 + 1, 1)))"
-    seq = F.when(F.col("n_bases") > 0, F.expr(f"substring(array_join({pairs}, ''), 1, n_bases)")).otherwise("")
-    return packed.withColumn("seq", seq)
+
+    def unpack(data: bytes) -> str:
+        b = np.frombuffer(data, np.uint8)
+        return _LETTERS[np.stack([b >> 6, b >> 4 & 3, b >> 2 & 3, b & 3], 1).ravel()].tobytes().decode()
+
+    return packed.withColumn("seq", F.substring(_each("string", unpack)("packed"), F.lit(1), F.col("n_bases")))
