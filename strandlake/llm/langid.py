@@ -153,14 +153,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
     texts picked by their hashes, ``in_all`` at most. None if there is nothing to learn from."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # a hash share of each language's rows, twice what is wanted, leaves few rows to rank however many tasks there are
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(in_all).collect()
+    keys = rows.select("lang", F.xxhash64("text").alias("key"))
+    # a hash share of each language's different texts, twice what is wanted, leaves few to rank however many tasks
+    # there are; copies share a hash and pass or fail together, so they must count once here too
+    counts = keys.distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(in_all).collect()
     if not counts:
         return None
     most = min(per_language, max(1, in_all // len(counts)))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(_SHARES, 2 * most * _SHARES // r.n + 1))])
-    key = F.xxhash64("text")
-    keys = rows.select("lang", key.alias("key")).where(F.pmod("key", F.lit(_SHARES)) < share[F.col("lang")]).distinct()  # copies count once
+    keys = keys.where(F.pmod("key", F.lit(_SHARES)) < share[F.col("lang")]).distinct()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     picked = keys.withColumn("n", first).where(F.col("n") <= most).select("lang", "key").collect()
     if not picked:

@@ -1,5 +1,8 @@
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import langid
 
@@ -58,3 +61,10 @@ def test_edges(spark):
     nothing = langid.identify(spark.createDataFrame([(1, "hello", None, 1, "")], schema)).collect()
     assert (nothing[0].lang_pred, nothing[0].score) == ("und", 0.0)
     assert langid.identified(spark.createDataFrame(rows, schema)).count() == 2
+
+
+def test_copies_do_not_thin_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "Model", lambda x, langs: Counter(langs))
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, F.concat(F.lit("word "), letters)).otherwise("a copy").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    assert langid.fit(docs, per_language=50) == {"en": 50, "de": 50}
