@@ -9,6 +9,8 @@ start for a template, as soon as too few of its bigrams are in reach.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -94,30 +96,22 @@ class Scanner:
         self.sizes = [sum(c.values()) for c in self.bigrams]
         self.index = dict(self.index)
 
-    def _best(self, k: int, at: list[int], pairs: list[tuple[str, str]]) -> tuple[float, int, int] | None:
-        """(Dice, first, last bigram) of the best passage for template k, whose bigrams lie at ``at``."""
+    def _from(self, k: int, i: int, where: np.ndarray, back: np.ndarray, end: int) -> tuple[float, int] | None:
+        """(Dice, last bigram) of the best passage for template k from hit ``i`` to a hit before ``end``."""
         m, t = self.sizes[k], self.threshold
-        most = math.floor((2 - t) / t * m + 1e-9)
-        least = math.ceil(t / (2 - t) * m - 1e-9)
-        where = np.array(at)
-        reach = np.searchsorted(where, where + most)  # hits before this one are within the size bound
-        best = None
-        for i in np.flatnonzero(reach - np.arange(len(at)) >= least):
-            left, shared = self.bigrams[k].copy(), 0
-            for j in range(i, reach[i]):
-                pair = pairs[at[j]]
-                if left[pair] > 0:
-                    left[pair] -= 1
-                    shared += 1
-                    dice = 2 * shared / (m + at[j] - at[i] + 1)
-                    if dice >= t and (best is None or dice > best[0]):
-                        best = (dice, at[i], at[j])
-        return best
+        reach = min(end, int(np.searchsorted(where, where[i] + math.floor((2 - t) / t * m + 1e-9))))
+        if reach - i < math.ceil(t / (2 - t) * m - 1e-9):
+            return None
+        # a hit is shared if fewer of its bigram precede it in the passage than the template holds
+        dice = 2 * np.cumsum(back[i:reach] < i) / (m + where[i:reach] - where[i] + 1)
+        best = int(dice.argmax())
+        return (float(dice[best]), int(where[i + best])) if dice[best] >= t else None
 
     def matches(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(licence, Dice, first word, last word) of passages that overlap no better one, best first.
 
-        Ties go to the longer template, then to the earlier passage and the licence first in order.
+        All passages of all templates compete, several of one template too. Ties go to the longer template, then
+        to the earlier passage and the licence first in order.
         """
         words = normalised(text or "")
         pairs = list(zip(words, words[1:]))
@@ -127,14 +121,42 @@ class Scanner:
             if pair in index:
                 for k in index[pair]:
                     hits[k].append(i)
-        found = []
+        lines, found = {}, []
         for k, at in hits.items():
-            if len(at) >= self.threshold / (2 - self.threshold) * self.sizes[k] - 1e-9 and (best := self._best(k, at, pairs)):
-                found.append((-best[0], -self.sizes[k], best[1], self.names[k], best[2]))
+            m, t = self.sizes[k], self.threshold
+            least = math.ceil(t / (2 - t) * m - 1e-9)
+            if len(at) < least:
+                continue
+            where = np.array(at)
+            reach = np.searchsorted(where, where + math.floor((2 - t) / t * m + 1e-9))  # hits before this one are within the size bound
+            starts = np.flatnonzero(reach - np.arange(len(at)) >= least)
+            if not len(starts):
+                continue
+            seen, back = defaultdict(list), np.full(len(at), -1)
+            for i, place in enumerate(at):  # back: the hit with the same bigram as many hits ago as the template holds
+                own, most = seen[pairs[place]], self.bigrams[k][pairs[place]]
+                if len(own) >= most:
+                    back[i] = own[-most]
+                own.append(i)
+            lines[k] = where, back
+            for i in starts.tolist():
+                if best := self._from(k, i, where, back, len(at)):
+                    found.append((-best[0], -m, at[i], self.names[k], best[1], k, i))
+        heapq.heapify(found)  # the best passage from each start; one that is cut short by a better one comes again
         kept: list[tuple[str, float, int, int]] = []
-        for dice, _, first, name, last in sorted(found):
-            if all(last + 1 < a or first > b for _, _, a, b in kept):
-                kept.append((name, -dice, first, last + 1))
+        spans: list[tuple[int, int]] = []  # words of the kept passages, in order
+        while found:
+            dice, size, first, name, last, k, i = heapq.heappop(found)
+            after = bisect.bisect_right(spans, (first, len(words)))
+            if after and spans[after - 1][1] >= first:
+                continue
+            if after < len(spans) and spans[after][0] <= last + 1:
+                where, back = lines[k]
+                if best := self._from(k, i, where, back, int(np.searchsorted(where, spans[after][0] - 1))):
+                    heapq.heappush(found, (-best[0], size, first, name, best[1], k, i))
+                continue
+            spans.insert(after, (first, last + 1))
+            kept.append((name, -dice, first, last + 1))
         return kept
 
 
@@ -155,7 +177,7 @@ def _scan(templates: dict[str, list[str]], threshold: float):
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, license and dice of its best passage (null if
-    none reaches ``threshold``), n_matches, and matches: the passage of each template that overlaps no better one.
+    none reaches ``threshold``), n_matches, and matches: every passage of any template that overlaps no better one.
 
     Null, empty and one-word texts have no bigram and match nothing. Null doc_ids stay null, repeated rows stay
     repeated, an empty table gives an empty one, other columns take no part.

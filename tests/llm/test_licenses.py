@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -65,3 +66,49 @@ def test_edges(spark):
     got = licenses.scan(spark.createDataFrame([(*r, "x", 1) for r in rows], schema)).collect()
     assert len(got) == 6 and [r.n_matches for r in got if r.doc_id != 4] == [0] * 5
     assert [r.license for r in got if r.doc_id == 4] == ["MIT"]
+
+
+def brute_matches(text, templates, t):
+    """Of all passages of all templates the best, then the best of those that do not overlap it, and so on."""
+    words = licenses.normalised(text)
+    pairs, every = list(zip(words, words[1:])), []
+    for name, parts in ((n, licenses.normalised(x)) for n, xs in templates.items() for x in xs):
+        want = Counter(zip(parts, parts[1:]))
+        for i in range(len(pairs)):
+            have = Counter()
+            for j in range(i, len(pairs)):
+                have[pairs[j]] += 1
+                dice = 2 * (have & want).total() / (want.total() + j - i + 1)
+                if dice >= t:
+                    every.append((-dice, -want.total(), i, name, j + 1))
+    kept = []
+    for dice, _, first, name, last in sorted(every):
+        if all(last < a or first > b for _, _, a, b in kept):
+            kept.append((name, -dice, first, last))
+    return kept
+
+
+GPL = "This work is licensed under the GNU General Public License, version 3. Words between. This work is licensed under the GNU General Public License v2 or so."
+
+
+def test_every_passage_of_a_template():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert [m[0] for m in scanner.matches("Released under the MIT License. Some words. " * 3)] == ["MIT"] * 3
+    assert [m[0] for m in scanner.matches(GPL)] == ["GPL-3.0", "GPL-2.0"]
+    some = {n: [x for x in xs if len(x) < 100] for n, xs in licenses.TEMPLATES.items()}
+    rng = random.Random(5)
+    words = "licensed under the mit license gnu general public version 3 2 cc by sa 4 0 released this work is x y".split()
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(6)]
+    notices = [x for xs in some.values() for x in xs]
+    for _ in range(12):
+        mixed = " ".join(rng.choices(notices, k=5)).split()
+        texts.append(" ".join(rng.choice(words) if rng.random() < 0.08 else w for w in mixed))
+    for text in [GPL, *texts]:
+        for t in (0.8, 0.6):
+            got, want = licenses.Scanner(some, t).matches(text), brute_matches(text, some, t)
+            assert got == [(n, pytest.approx(d), a, b) for n, d, a, b in want]
+
+
+def test_a_notice_many_times():
+    text = "Licensed under the Apache License, Version 2.0. Next part. " * 3000
+    assert len(licenses.Scanner(licenses.TEMPLATES).matches(text)) == 3000
