@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+import pkgutil
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -50,7 +51,8 @@ TEMPLATES = {
     "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "CC0-1.0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."],
+    "GPL-1.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version."],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
@@ -63,6 +65,8 @@ TEMPLATES = {
         "Released under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ],
+    "LGPL-2.0": ["This work is licensed under the GNU Library General Public License, version 2."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1."],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": [
         "Released under the MIT License.",
@@ -72,6 +76,21 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
+# Texts that differ by a clause or a few words from one above: without them they would be taken for it.
+for _kind in ("library", "program"):
+    for _name, _terms in (("LGPL-2.0", "Library General Public License as published by the Free Software Foundation; either version 2"), ("LGPL-2.1", "Lesser General Public License as published by the Free Software Foundation; either version 2.1"), ("LGPL-3.0", "Lesser General Public License as published by the Free Software Foundation; either version 3")):
+        TEMPLATES[_name].append(f"This {_kind} is free software; you can redistribute it and/or modify it under the terms of the GNU {_terms} of the License, or (at your option) any later version.")
+_HEAD, _AS_IS = TEMPLATES["BSD-2-Clause"][1].split(" THIS SOFTWARE IS PROVIDED")
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED" + _AS_IS
+_NOTED = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the copyright holder."
+TEMPLATES["BSD-3-Clause"].append(f"{_HEAD} 3. {_NAMES}")
+TEMPLATES["BSD-4-Clause"] = ["Released under the BSD 4-Clause License.", f"{_HEAD} 3. {_NOTED} 4. {_NAMES}"]
+TEMPLATES["0BSD"] = [TEMPLATES["ISC"][1].replace(", provided that the above copyright notice and this permission notice appear in all copies", "")]
+TEMPLATES["MIT-0"] = [TEMPLATES["MIT"][2].replace(", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "")]
+#: Licences whose full texts are kept beside this module.
+FULL_TEXTS = ("Apache-2.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+for _name in FULL_TEXTS:
+    TEMPLATES[_name].append(pkgutil.get_data(__package__, f"license_texts/{_name}.txt").decode())
 
 
 def normalised(text: str) -> list[str]:

@@ -112,3 +112,25 @@ def test_every_passage_of_a_template():
 def test_a_notice_many_times():
     text = "Licensed under the Apache License, Version 2.0. Next part. " * 3000
     assert len(licenses.Scanner(licenses.TEMPLATES).matches(text)) == 3000
+
+
+CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+
+
+def test_near_licences_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert [m[:2] for m in scanner.matches(f"Foo 1. {text} Bar.")] == [(name, 1.0)]
+    disclaimer = licenses.TEMPLATES["BSD-2-Clause"][1].partition("THIS SOFTWARE")
+    assert [m[0] for m in scanner.matches(CLAUSES + "".join(disclaimer[1:]))] == ["BSD-3-Clause"]
+    notice = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    for what in ("library", "program", "tool"):
+        for kind, version, name in (("Lesser", "3", "LGPL-3.0"), ("Lesser", "2.1", "LGPL-2.1"), ("Library", "2", "LGPL-2.0"), ("", "3", "GPL-3.0"), ("", "2", "GPL-2.0"), ("Affero", "3", "AGPL-3.0")):
+            assert [m[0] for m in scanner.matches(notice.format(what, kind, version))] == [name]
+    lgpl = "This work is licensed under the GNU Lesser General Public License, version {}."
+    assert [m[0] for m in scanner.matches(lgpl.format("2.1") + " Words. " + lgpl.format("3"))] == ["LGPL-2.1", "LGPL-3.0"]
