@@ -65,6 +65,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def likeness_of(a: Shingles, b: Shingles) -> float:
+    """Jaccard similarity of two texts: estimated from their sketches, or by all shingles where a sketch is empty.
+
+    1 for an empty sketch only against a text of the same shingles or if both have no word.
+    """
+    x, y = a.sketch(), b.sketch()
+    return likeness(x, y) if len(x) and len(y) else likeness(np.unique(a.hashes), np.unique(b.hashes))
+
+
 def written(sketch: np.ndarray) -> str:
     """A sketch as text: its ascending hashes, big-endian, in base 64."""
     return base64.b64encode(sketch.astype(">u8").tobytes()).decode()
@@ -84,7 +93,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _sketch, "doc_id long, fingerprint string")
 
 
-COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, in_next double"
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, in_next double, like_edited double, like_next double"
 
 
 def _row(doc_id: int | None, text: str, own: Shingles, after: str, after_own: Shingles) -> tuple:
@@ -98,12 +107,14 @@ def _row(doc_id: int | None, text: str, own: Shingles, after: str, after_own: Sh
     a, b, c = own.sketch(), changed.sketch(), after_own.sketch()
     near_edited = 1.0 if edited == text else likeness(a, b)
     near_next = 1.0 if after == text else likeness(a, c)
-    return doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), written(a), written(b), near_edited, near_next, containment(a, b), containment(a, c)
+    like_edited = 1.0 if edited == text else likeness_of(own, changed)
+    like_next = 1.0 if after == text else likeness_of(own, after_own)
+    return doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), written(a), written(b), near_edited, near_next, containment(a, b), containment(a, c), like_edited, like_next
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by stretch and order; the last of each stretch is the first of the next and gets no row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), *((c, pa.float64()) for c in ("near_edited", "near_next", "in_edited", "in_next"))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), *((c, pa.float64()) for c in ("near_edited", "near_next", "in_edited", "in_next", "like_edited", "like_next"))])
     held = None
     for b in batches:
         out = []
@@ -125,7 +136,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the
     next document's; after the last comes the first. Null doc_ids come first, null texts are empty, repeated
     rows follow each other, a single document is its own next, an empty table gives an empty one. Likeness is
-    the Jaccard estimate (1 for equal texts), in_edited and in_next the containment of the document's sketch
+    the Jaccard estimate (1 for equal texts). near_edited and near_next go by the sketches alone, so that two
+    texts with empty sketches (few shingles, none kept) score 1 whatever they share, and one against another 0;
+    like_edited and like_next take all shingles there. in_edited and in_next the containment of the document's sketch
     (null where that is empty).
 
     Texts are shuffled once: into stretches of ids between sampled quantiles, each with a copy of the next

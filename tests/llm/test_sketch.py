@@ -74,3 +74,19 @@ def test_edges(spark, partitions):
             assert plain(sketch.compare_with_next(df).collect()) == sorted(brute(rows), key=str)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_short_texts_by_all_shingles(spark):
+    rows = [(i, t) for i, t in enumerate(["x y z", "é" * 9, "", " \n", "a b c d e f", "a b c d e g", "one two three four five six seven", *("to be or not to be %d" % k for k in range(30))])]
+    got = {r.doc_id: r for r in sketch.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    short = 0
+    for i, text in rows:
+        after = rows[(i + 1) % len(rows)][1]
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        for other, like in ((edited, got[i].like_edited), (after, got[i].like_next)):
+            if not slow_sketch(text) or not slow_sketch(other):
+                short += 1
+                assert like == pytest.approx(1.0 if text == other else true_jaccard(text, other))
+            else:
+                assert like == pytest.approx(sketch.likeness(np.array(slow_sketch(text)), np.array(slow_sketch(other))))
+    assert short > 20 and got[0].like_next == 0.0 and got[2].like_next == 1.0
