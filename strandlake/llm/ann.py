@@ -142,21 +142,28 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, score) of the k best rows for each query, by exact score and then by id."""
-    # equal vectors: of each, only the k + 1 smallest ids can be among the best (one may be the query's own)
+    # equal vectors: of each, only the k smallest ids besides the query's own can be among the best; ids may repeat
     order = np.lexsort((ids, *rows.T[::-1]))
     rows, ids = rows[order], ids[order]
     new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))
     first, size = np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(rows)))
     kinds, norm = rows[first], np.sqrt((rows[first] ** 2).sum(1))
-    room = np.minimum(size, k + 1)
+    kind_of, by_id = np.repeat(np.arange(len(kinds)), size), np.argsort(ids, kind="stable")
     out = []
     for at in range(0, len(queries), 256):
         q = queries[at : at + 256]
         s = q @ kinds.T
+        lo, hi = (np.searchsorted(ids[by_id], q_ids[at : at + 256], side=side) for side in ("left", "right"))
+        asks = np.repeat(np.arange(len(q)), hi - lo)
+        of = kind_of[by_id[np.arange(len(asks)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)]]
+        own = np.zeros(s.shape, np.int32)  # rows of each kind that carry the query's id
+        np.add.at(own, (asks, of), 1)
+        alone = own[asks, of] == size[of]
+        s[asks[alone], of[alone]] = -np.inf
         least = np.partition(s, max(0, len(kinds) - k - 1), axis=1)[:, max(0, len(kinds) - k - 1)] if len(kinds) > k else np.full(len(q), -np.inf)
         slack = 1e-12 * np.sqrt((q**2).sum(1))[:, None] * norm  # what the order of summing may change
         i, j = np.nonzero(s >= least[:, None] - slack)
-        n = room[j]
+        n = np.minimum(size[j], k + own[i, j])
         which = np.repeat(np.arange(len(i)), n)
         member = first[j[which]] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         score = (q[i] * kinds[j]).sum(1)[which]

@@ -75,3 +75,18 @@ def test_hot_vector(spark):
     assert len(got) == len(want)
     same = [want[q, r][0] == v for q, r, v, _ in got if (q % 3) == 0]
     assert np.mean(same) > 0.95
+
+
+def test_repeated_query_ids_take_no_places():
+    rng = np.random.default_rng(7)
+    near = rng.normal(size=8)
+    # 0 with 30 equal rows, 20 with 30 rows that differ and score best, and equal and other candidates
+    rows = [(0, near)] * 30 + [(20, near * (2 + k / 50)) for k in range(30)] + [(100 + k, near) for k in range(25)] + [(200 + k, rng.normal(size=8) * 0.1) for k in range(60)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    asked = np.array([near, near * 2])
+    i, found, score = ann.top(asked, np.array([0, 20]), x, ids, 20)
+    for a, q in enumerate((0, 20)):
+        want = sorted((-(asked[a] * v).sum(), j) for j, v in rows if j != q)[:20]
+        assert found[i == a].tolist() == [j for _, j in want]
+        assert np.allclose(score[i == a], [-s for s, _ in want])
