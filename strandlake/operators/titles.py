@@ -135,6 +135,12 @@ def rejoin(titles: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
     return parts.groupBy("rec_no").agg(ordered.alias("f")).select("rec_no", F.expr("array_join(transform(f, x -> concat(x.txt, x.sep)), '')").alias("title"))
 
 
+def restored(titles: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
+    """(rec_no, title) of every title: those that conform by ``rejoin``, the others and null ones carried whole."""
+    whole = titles.join(split_expected(titles, size).where("field_no = 0").select("rec_no"), "rec_no", "left_anti")
+    return rejoin(titles, size).union(whole.select("rec_no", "title"))
+
+
 def frequencies(values: DataFrame, deltas: bool = False) -> DataFrame:
     """(sb_id, field_no, value, n) of each numeric field, or of its deltas; none for fields of over 512 distinct ones."""
     rows = values

@@ -283,7 +283,7 @@ def delta_or_value(spark, sf_dir):
 
 @query("SELECT rec_no, title FROM reads")
 def title_rejoin(spark, sf_dir):
-    return titles.rejoin(reads(spark, sf_dir).select("rec_no", "title"), SB)
+    return titles.restored(reads(spark, sf_dir).select("rec_no", "title"), SB)
 
 
 @query(f"SELECT event_id, {_bits('user_id')} AS bits FROM events")

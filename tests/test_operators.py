@@ -7,10 +7,12 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strandlake import fixtures
 from strandlake.__main__ import main
 from strandlake.functions.scalars import bit_length, kept_length, last_kept, run_estimate
 from strandlake.operators import deltas, overlap, profile, runs, sizes, title_coding, titles, transforms
 from strandlake.operators.huffman import codes, decode, huffman
+from strandlake.plans import registry
 from strandlake.sources import archive, fastq
 from strandlake.streaming import superblocks
 
@@ -144,6 +146,14 @@ def test_titles_that_do_not_conform(spark):
     assert sorted(r.title for r in titles.rejoin(df).collect()) == sorted(t for i, t in rows if i != 2)
 
 
+def test_every_title_is_restored(spark, tmp_path):
+    docs = [(0, "some text", "zh-cn", 9), (1, "more text", "en", 9), (2, "other text", None, 10), (3, "a text", "pt-br", 6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(r.rec_no, r.title) for r in fixtures.reads(spark, str(tmp_path)).collect()]
+    got = [(r.rec_no, r.title) for r in registry.QUERIES["title_rejoin"](spark, str(tmp_path)).collect()]
+    assert len(got) == 4 and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_value_ranges_and_ties(spark):
     def coding(values):
         df = spark.createDataFrame([(0, 0, i, v) for i, v in enumerate(values)], "sb_id long, field_no int, rec_no long, value long")
