@@ -38,7 +38,11 @@ def size_report(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
 
 
 def compression(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
-    """(sb_id, input_bytes, coded_bytes, ratio) with qualities by position and titles by character."""
+    """(sb_id, input_bytes, coded_bytes, ratio) with qualities by position and titles by character.
+
+    coded_bytes leaves out what reading back would need besides: positions of N, plus lines, read lengths, titles
+    that lack the expected separators, and the code tables. The ratio is therefore above that of a whole archive.
+    """
     text = profile.superblocks(reads, size).groupBy("sb_id").agg(F.sum(F.length("title") + F.length("seq") + F.length("plus") + F.length("quality") + 4).cast("bigint").alias("input_bytes"))
     coded = size_report(reads, size).where(F.col("stream").isin("quality_plain", "title_char", "bases")).groupBy("sb_id").agg(F.ceil(F.sum("bits") / 8).cast("bigint").alias("coded_bytes"))
     return text.join(coded, "sb_id").withColumn("ratio", F.round(F.col("input_bytes") / F.col("coded_bytes"), 4))
