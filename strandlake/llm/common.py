@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of text handed to a Python worker at a time: bounds its memory when texts are long.
-BATCH_ROWS = 256
+#: Rows and bytes that a kernel sees at a time: bounds its memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a session without one (tests, one machine) gets a temporary folder."""
+    """The cluster's shared folder. A session without one gets a temporary folder, but on this machine alone."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="strandlake-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="strandlake-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
@@ -35,19 +38,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Like ``cut`` for large rows: a compressed table in the shared folder, a fraction of a checkpoint's size.
 
-    Like checkpoints, the files stay until that folder is cleared."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    It stays until ``remove`` or until that folder is cleared."""
+    path = f"{folder or shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def sliced(batch: pa.RecordBatch, rows: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and ``most`` bytes, one row at least."""
+    at, step = 0, rows
+    while at < batch.num_rows:
+        part = batch.slice(at, step)
+        if part.num_rows > 1 and part.nbytes > most:
+            step = max(1, part.num_rows // 2)
+            continue
+        yield part
+        at, step = at + part.num_rows, rows
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` with small batches of whole texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with small batches of whole texts, cut inside the worker: the session's settings stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(part for b in batches for part in sliced(b, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -55,20 +79,27 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def ranked(df: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
-    """Add each row's 0-based place in the global order of ``order``.
+def before(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add for each row the sums (long) of all rows that come earlier in the global order of ``order``.
 
-    Rows are range-partitioned and numbered inside each partition; only one count per partition
-    goes through the driver. The sorted rows are cut first, so that partition numbers stay fixed.
+    Rows are range-partitioned and summed inside each partition; only one row per partition goes through the
+    driver. The sorted rows are cut first, so that partition numbers stay fixed.
     """
     keys = [F.col(c).asc_nulls_last() for c in order]
-    part = cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["n"] for r in part.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for p in sorted(counts):
-        before += [F.lit(p), F.lit(total).cast("long")]
-        total += counts[p]
-    if not before:
-        return part.drop("_part").withColumn(rank, F.lit(0).cast("long"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-    return part.withColumn(rank, (inside + F.create_map(*before)[F.col("_part")]).cast("long")).drop("_part")
+    part = cut(df.repartitionByRange(*keys).withColumns({"_part": F.spark_partition_id(), **{f"_{k}": c.cast("long") for k, c in sums.items()}}))
+    totals = sorted(part.groupBy("_part").agg(*[F.sum(f"_{k}").alias(k) for k in sums]).collect())
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = {}
+    for k in sums:
+        offsets, total = [], 0
+        for r in totals:
+            offsets += [F.lit(r["_part"]), F.lit(total).cast("long")]
+            total += r[k] or 0
+        offset = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0).cast("long")
+        out[k] = offset + F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0).cast("long"))
+    return part.withColumns(out).drop("_part", *[f"_{k}" for k in sums])
+
+
+def ranked(df: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
+    """Add each row's 0-based place in the global order of ``order``."""
+    return before(df, order, {rank: F.lit(1)})

@@ -11,14 +11,14 @@ from strandlake.llm.common import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     """Point every larger neighbour of a node at the least node of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Point a node and its smaller neighbours at the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
@@ -26,7 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u long, v long): root is the least node of its component.
 
     Every round contracts stars (Kiveris et al., 2014), in O(log^2 n) rounds; each is cut into the
-    shared folder. Roots themselves are returned as well. No edge: an empty table.
+    shared folder, and so are the least neighbours: a join with an aggregate takes over its partitioning, and
+    then a root with most of the nodes could not be split. Roots themselves are returned as well. No edge: an
+    empty table.
     """
 
     def state(df: DataFrame) -> tuple:

@@ -201,7 +201,7 @@ def _named(signed: DataFrame, split_at: int) -> DataFrame:
     first = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(first.select("fp"), split_at))
     tied = first.join(roots, first.fp == roots.node).select("fp", "root", "first")
-    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut(tied.groupBy("root").agg(F.min("first").alias("component_id")))  # cut: a root may have most rows
     tied = tied.join(least, "root").select("fp", "root", "component_id")
     return cut(first.join(tied, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")))
 
@@ -227,13 +227,17 @@ def _sign_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def representatives(docs: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     """The rows of ``docs`` less all but one of each component: its smallest doc_id (null after all others),
-    of equal ids the smallest hash of the text; of rows that agree in both, one."""
-    id_, key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(id_.alias("doc_id"), key.alias("key"), F.col("text").cast("string"))
-    signed = cut(map_batches(rows, _sign_keyed, "doc_id long, key long, fp long"))
+    of equal ids the smallest hash of the text; of rows that agree in both, any one.
+
+    Null and empty texts are copies of each other; an empty table gives an empty one; all columns of ``docs``
+    come back as they are, whatever their names."""
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    signed = cut(map_batches(docs.select(id_.alias("doc_id"), key.alias("key"), text.alias("text")), _sign_keyed, "doc_id long, key long, fp long"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    by_print = signed.groupBy("fp").agg(F.min(place).alias("one"))
+    by_print = cut(signed.groupBy("fp").agg(F.min(place).alias("one")))
     kept = by_print.join(_named(signed, split_at), "fp").groupBy("root").agg(F.min("one").alias("one"))
-    kept = cut(kept.select(F.coalesce("one.doc_id", F.lit(0)).alias("_id"), F.col("one.none").alias("_none"), F.col("one.key").alias("_key")))
-    own = docs.withColumns({"_id": F.coalesce(id_, F.lit(0)), "_none": id_.isNull(), "_key": key})
-    return own.join(kept, ["_id", "_none", "_key"], "left_semi").dropDuplicates(["_id", "_none", "_key"]).select(*docs.columns)
+    kept = cut(kept.select(F.coalesce("one.doc_id", F.lit(0)).alias("id"), F.col("one.none").alias("none"), F.col("one.key").alias("key")))
+    own = docs.select(F.coalesce(id_, F.lit(0)).alias("id"), id_.isNull().alias("none"), key.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    one = own.groupBy("id", "none", "key").agg(F.any_value("row").alias("row"))  # before the join: repeated rows go on the map side
+    return one.join(kept, ["id", "none", "key"], "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -109,3 +109,20 @@ def test_representatives(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r.doc_id for r in simhash.representatives(docs).collect()}
     assert kept == {r.component_id for r in simhash.near_duplicates(docs).collect()}
+
+
+def test_representatives_keep_clashing_columns(spark):
+    names = ["_id", "_none", "_key", "id", "none", "key", "row", "fp", "one"]
+    df = spark.createDataFrame([(3, "a b c d", *["x"] * 9), (1, "a b c d", *names), (2, "quite another text", *["z"] * 9)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert sorted(map(tuple, simhash.representatives(df).collect())) == [(1, "a b c d", *names), (2, "quite another text", *["z"] * 9)]
+    assert simhash.representatives(df.where("false")).collect() == []
+
+
+def test_hot_component(spark):
+    """A star whose centre has most of the links: no aggregate directly below a join, so that it can be split."""
+    from strandlake.llm import graph
+
+    edges = spark.range(1, 2000).selectExpr("0L AS u", "id AS v")
+    assert {r.root for r in graph.components(edges).collect()} == {0}
+    plan = graph._large_star(graph.cut(edges))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "HashAggregate" not in plan
