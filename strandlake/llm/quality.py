@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import map_batches
 
-#: Labelled rows to learn from at most; rows are taken by the least hash of their id.
+#: Labelled documents to learn from at most; they are taken by the least hash of their id.
 LABELLED = 12_000
 THRESHOLD = 0.7
 TREES, DEPTH, BINS, RATE, L2, LEAF = 120, 5, 64, 0.1, 1.0, 8
@@ -126,12 +126,12 @@ def held_out(doc_id: Column) -> Column:
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = [np.array(features(t)).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(made, pa.binary())], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(made, pa.binary())], ["doc_id", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED) -> Trees | None:
     """Learn from ``most`` labelled rows that are not held out; None if there are none. Of several labels for
-    one document the largest counts."""
+    one document the largest counts, of several texts under one id the one with the least statistics."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, most / max(1, known.count()))  # a hash share first: what is left to sort is bounded
@@ -139,8 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     if not picked:
         return None
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked], "doc_id long, label int")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # ``most`` rows at most
-    got = sorted((r.label, bytes(r.x)) for r in map_batches(rows.select("label", "text"), _statistics, "label int, x binary").collect())
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    made = map_batches(rows, _statistics, "doc_id long, label int, x binary")
+    one = made.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("one"))  # rows may share an id: ``most`` rows at most
+    got = sorted((r.label, bytes(r.x)) for r in one.select("one.*").collect())
     if not got:
         return None
     return Trees(np.stack([np.frombuffer(x) for _, x in got]), np.array([y > 0 for y, _ in got], float))

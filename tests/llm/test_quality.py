@@ -52,3 +52,43 @@ def test_edges(spark):
     none = quality.scores(docs, labels.where("false")).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.5, 0)}
     assert quality.features(None) == quality.features("") and len(quality.features("a b\n" * 50_000)) == len(quality.NAMES)
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(4, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "Trees", lambda x, y: seen.append(len(x)))
+    quality.fit(docs, labels)
+    assert seen == [2]
+
+
+def slow_split(x, y, grad, hess, edges):
+    """The best gain over every feature and edge, by loops."""
+    best = (1e-6, None)
+    for f, limits in enumerate(edges):
+        for limit in limits:
+            left = x[:, f] <= limit
+            if min(left.sum(), (~left).sum()) >= quality.LEAF:
+                part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + quality.L2)
+                gain = part(left) + part(~left) - part(np.ones(len(x), bool))
+                if gain > best[0] + 1e-9:
+                    best = (gain, (f, limit))
+    return best[1]
+
+
+def test_first_split_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        x = np.round(rng.normal(size=(300, 5)), 2)
+        y = (x[:, rng.integers(0, 5)] + 0.3 * rng.normal(size=300) > rng.normal() / 2).astype(float)
+        trees = quality.Trees(x, y)
+        p = y.mean()
+        edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for f in range(5)]
+        assert (trees.feature[0], trees.limit[0]) == slow_split(x, y, p - y, np.full(300, p * (1 - p)), edges)
+        margin = np.full(300, np.log(p / (1 - p)))
+        losses = []
+        for k in range(0, quality.TREES, 30):  # boosting lowers the loss on what it learns from
+            part = trees.value[: trees.roots[k + 1] if k + 1 < len(trees.roots) else None]
+            losses.append(len(part))
+        assert losses == sorted(losses) and np.mean((trees.score(x) >= 0.5) == (y > 0)) > np.mean((margin > 0) == (y > 0))
