@@ -68,3 +68,29 @@ def test_copies_do_not_thin_the_sample(spark, monkeypatch):
     letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, F.concat(F.lit("word "), letters)).otherwise("a copy").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
     assert langid.fit(docs, per_language=50) == {"en": 50, "de": 50}
+
+
+def slow_predict(model, x):
+    """Family by the largest margin; inside it every pair of languages votes, one at a time."""
+    x = np.append(x, 1.0)
+    top = model.families[0]
+    if model.tops is not None:
+        top = max(zip(model.families, model.tops), key=lambda f: float(x @ f[1]))[0]
+    members, pairs, machines = model.inside[top]
+    votes, prob = Counter(), Counter()
+    for (a, b), w in zip(pairs, machines):
+        margin = float(x @ w)
+        p = 1 / (1 + np.exp(-4 * np.clip(margin, -20, 20)))
+        votes[a if margin > 0 else b] += 1
+        prob[a] += p
+        prob[b] += 1 - p
+    return members[max(range(len(members)), key=lambda i: (votes[i] + prob[i] / max(1, len(members) - 1) / len(members), -i))]
+
+
+def test_predictions_against_one_text_at_a_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    for r in docs.collect():
+        x = langid.features(r.text)
+        assert got[r.doc_id] == ("und" if x is None else slow_predict(model, x))
