@@ -7,10 +7,22 @@ import xxhash
 from strandlake.llm import sketch
 
 
-def slow_sketch(text):
+def slow_hashes(text):
     words = (text or "").encode().lower().split()
     shingles = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-    return sorted(h for h in (xxhash.xxh64_intdigest(s, 42) for s in shingles) if h < (1 << 64) // 8)
+    return sorted(xxhash.xxh64_intdigest(s, 42) for s in shingles)
+
+
+def slow_sketch(text):
+    every = slow_hashes(text)
+    return every[: max(16, sum(h < (1 << 64) // 8 for h in every))]
+
+
+def slow_likeness(a, b):
+    """Over the hashes that both sketches would hold."""
+    bound = min([(1 << 64) // 8 - 1 if s[-1] < (1 << 64) // 8 else s[-1] for s in (slow_sketch(a), slow_sketch(b)) if len(s) >= 16], default=1 << 64)
+    x, y = ({h for h in slow_hashes(t) if h <= bound} for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
 
 
 def true_jaccard(a, b):
@@ -23,15 +35,13 @@ def true_jaccard(a, b):
 
 
 def brute(rows):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + (1 << 63)) % (1 << 64)))
     out = []
     for i, (doc_id, text) in enumerate(order):
         text, after = text or "", order[(i + 1) % len(order)][1] or ""
         k = len(text) // 4
         edited = text[: len(text) - k] + after[:k]
-        a, b, c = slow_sketch(text), slow_sketch(edited), slow_sketch(after)
-        like = lambda x, y, same: 1.0 if same else len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0
-        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, like(a, b, edited == text), like(a, c, after == text)))
+        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), slow_sketch(text), slow_sketch(edited), slow_likeness(text, edited), slow_likeness(text, after)))
     return out
 
 
@@ -76,17 +86,28 @@ def test_edges(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-def test_short_texts_by_all_shingles(spark):
+def test_short_texts_compare_exactly(spark):
     rows = [(i, t) for i, t in enumerate(["x y z", "é" * 9, "", " \n", "a b c d e f", "a b c d e g", "one two three four five six seven", *("to be or not to be %d" % k for k in range(30))])]
     got = {r.doc_id: r for r in sketch.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    short = 0
     for i, text in rows:
         after = rows[(i + 1) % len(rows)][1]
         edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
-        for other, like in ((edited, got[i].like_edited), (after, got[i].like_next)):
-            if not slow_sketch(text) or not slow_sketch(other):
-                short += 1
-                assert like == pytest.approx(1.0 if text == other else true_jaccard(text, other))
-            else:
-                assert like == pytest.approx(sketch.likeness(np.array(slow_sketch(text)), np.array(slow_sketch(other))))
-    assert short > 20 and got[0].like_next == 0.0 and got[2].like_next == 1.0
+        assert got[i].near_edited == pytest.approx(true_jaccard(text, edited)) and got[i].near_next == pytest.approx(true_jaccard(text, after))
+    assert got[0].near_next == 0.0 and got[2].near_next == 1.0
+
+
+def test_merged_sketches_are_those_of_the_union():
+    rng = np.random.default_rng(4)
+    for n, m in ((3, 5), (3, 400), (20, 30), (400, 900)):
+        a, b = rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, 1 << 64, m, dtype=np.uint64)
+        assert np.array_equal(sketch.merge(sketch._sketched(a), sketch._sketched(b)), sketch._sketched(np.concatenate((a, b))))
+
+
+def test_one_id_with_most_rows(spark):
+    rows = [(None if i % 3 else i, f"text {i % 40} of many " * 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert plain(sketch.compare_with_next(df).collect()) == sorted(brute(rows), key=str)
+    keyed = df.selectExpr("coalesce(doc_id, -9223372036854775808) AS at", "xxhash64(text) AS key")
+    bounds = sketch._bounds(keyed, 8)
+    at, key = (np.array(c) for c in zip(*[tuple(r) for r in keyed.collect()]))
+    assert np.bincount(sketch._places(bounds, at, key)).max() < 200
