@@ -76,3 +76,25 @@ def test_many_sources_join_by_shuffle(spark, monkeypatch):
     want = sorted(map(tuple, mixing.mix(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
     assert sorted(map(tuple, mixing.mix(docs).collect())) == want
+
+
+@pytest.mark.parametrize("ids", ["same", "null"])
+def test_equal_rows_draw_each_for_itself(spark, ids):
+    one = 7 if ids == "same" else None
+    rows = [(one, "a b c", "hot")] * 1000 + [(i, "w " * 5, "other") for i in range(400)] + [(None, "x", None)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df.repartition(6)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
+    per = {}
+    for r in got:
+        per.setdefault(r.target, []).append(r.taken)
+    assert len(per) == 3 and all(sum(taken) == pytest.approx(target, rel=0.05) for target, taken in per.items())
+    out = mixing.mixed(df)
+    assert out.count() == sum(r.copies for r in got)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    names = ["key", "nth", "draw", "turn", "rate", "row", "part", "copies", "seed", "of", "copy"]
+    df = spark.createDataFrame([(1, "w " * 300_000, "a", *names), (1, "w " * 300_000, "a", *names), (2, "z", "b", *names)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    assert [r["size"] for r in mixing.mix(df).orderBy("size").collect()] == [1, 300_000, 300_000]
+    assert all(tuple(r)[3:] == tuple(names) for r in mixing.mixed(df).collect())
