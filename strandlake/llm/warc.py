@@ -4,9 +4,10 @@ Records fill independent Zstandard frames of about ``FRAME_BYTES``; a bundle of
 the seek table of the Zstandard seekable format (a skippable frame that any decoder passes over). An index maps
 each record identifier to its frame and its offset inside that frame, so that one record costs one frame.
 
-An archive is a table of bundles (bundle, content, index) that Spark writes and commits, so it can lie in any
-store Spark reaches and a lost executor leaves no half-written file; ``export`` puts the same bundles into a
-mounted folder as .warc.zst files.
+An archive is a table of bundles (bundle, content, index) and a table of their index sorted by record
+identifier, both written and committed by Spark, so it can lie in any store Spark reaches and a lost executor
+leaves no half-written file. A lookup is pushed down into the index, then into the bundles by their name.
+``export`` puts the same bundles into a mounted folder as .warc.zst files.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import map_batches, shared_dir
+from strandlake.llm.common import cut, map_batches, shared_dir
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL, MIN_REVISIT = 1 << 18, 4 << 20, 3, 0
 #: Fixed values of the Zstandard seekable format and of WARC/1.1.
@@ -122,13 +124,21 @@ def frame(content: bytes, k: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(content[start : start + packed], max_output_size=max(plain, 1))
 
 
-def fetch(archive: DataFrame, page_id: int | None) -> list[bytes]:
-    """The records of one page, each read from its one frame."""
-    hits = archive.select("content", F.explode("index").alias("i")).where(F.col("i.record_id") == record_id(page_id))
+class Archive(NamedTuple):
+    bundles: DataFrame  # (bundle, content, index)
+    index: DataFrame  # (record_id, bundle, frame, offset, length)
+
+
+def opened(spark: SparkSession, path: str) -> Archive:
+    return Archive(spark.read.parquet(f"{path}/bundles"), spark.read.parquet(f"{path}/index"))
+
+
+def fetch(archive: Archive, page_id: int | None) -> list[bytes]:
+    """The records of one page: index rows by identifier, then of each bundle named there one frame."""
     out = []
-    for r in hits.select("content", "i.frame", "i.offset", "i.length").toLocalIterator():
-        plain = frame(bytes(r.content), r.frame)
-        out.append(plain[r.offset : r.offset + r.length])
+    for hit in archive.index.where(F.col("record_id") == record_id(page_id)).toLocalIterator():
+        content = bytes(archive.bundles.where(F.col("bundle") == hit.bundle).select("content").first().content)
+        out.append(frame(content, hit.frame)[hit.offset : hit.offset + hit.length])
     return out
 
 
@@ -155,21 +165,28 @@ def _pack(frame_bytes: int, bundle_bytes: int, level: int):
     return run
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL) -> DataFrame:
+def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL) -> Archive:
     """Write one record per row of ``pages`` (page_id, url, html, ...) to the archive at ``path`` and return it.
 
     Of equal payloads of at least ``min_revisit`` bytes the largest page_id is the response and the others
     revisit it; shorter payloads are all responses. Null html is an empty payload; null page_ids come before
-    all others; rows that repeat the largest page_id with the same payload are responses too.
+    all others; rows that repeat the largest page_id with the same payload are responses too. A very long
+    payload has a frame and, beyond ``bundle_bytes``, a bundle to itself, which must fit a cell of Spark (2 GB).
+    An empty table gives an empty archive; other columns take no part, whatever their names.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     key = F.sha1(F.encode("html", "UTF-8"))
     pages = pages.withColumn("key", F.when(F.octet_length("html") >= min_revisit, key))
     groups = pages.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = cut(groups)  # cut: a join of plain tables can split a payload that most pages share
     marked = pages.join(groups, "key", "left").select("page_id", "url", "html", "keep", (F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))).alias("revisit"))
     bundles = map_batches(marked, _pack(frame_bytes, bundle_bytes, level), BUNDLES)
-    bundles.write.option("compression", "uncompressed").mode("overwrite").parquet(path)  # frames are packed already
-    return pages.sparkSession.read.parquet(path)
+    packed = bundles.write.option("compression", "uncompressed").option("parquet.block.size", 2 * bundle_bytes)  # frames are packed already
+    packed.mode("overwrite").parquet(f"{path}/bundles")
+    index = pages.sparkSession.read.schema(BUNDLES).parquet(f"{path}/bundles").select("bundle", F.explode("index").alias("i"))
+    index = index.select("i.record_id", "bundle", "i.frame", "i.offset", "i.length").repartitionByRange("record_id").sortWithinPartitions("record_id")
+    index.write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(f"{path}/index")
+    return opened(pages.sparkSession, path)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +205,9 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def read(archive: DataFrame) -> DataFrame:
+def read(archive: Archive) -> DataFrame:
     """One row per record of an archive; the payload of every response is checked against its digest."""
-    return map_batches(archive.select("content"), _unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", 4)
+    return map_batches(archive.bundles.select("content"), _unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", 4)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -199,7 +216,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     return read(write(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"))
 
 
-def export(archive: DataFrame, folder: str) -> None:
+def export(archive: Archive, folder: str) -> None:
     """Put every bundle into a folder that all executors have mounted, each by an atomic rename."""
 
     def put(rows) -> None:
@@ -210,4 +227,4 @@ def export(archive: DataFrame, folder: str) -> None:
                 f.write(r.content)
             os.replace(own, os.path.join(folder, f"{r.bundle}.warc.zst"))
 
-    archive.select("bundle", "content").foreachPartition(put)
+    archive.bundles.select("bundle", "content").foreachPartition(put)

@@ -60,3 +60,14 @@ def test_pages(spark):
     got = sorted(map(tuple, warc.round_trip(df).collect()), key=str)
     assert got == brute([(r.page_id, r.url, r.html) for r in df.collect()])
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_lookup_prunes_and_hot_payload(spark, tmp_path):
+    rows = [(i, "u", "error page" if i % 2 else f"page {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.write(df, str(tmp_path / "a"), bundle_bytes=2000, frame_bytes=500)
+    assert sorted(map(tuple, warc.read(archive).collect()), key=str) == brute(rows)
+    assert warc.opened(spark, str(tmp_path / "a")).index.count() == 400
+    assert [warc.parse(d)[0]["WARC-Type"] for k in (1, 399, 2) for d in warc.fetch(archive, k)] == ["revisit", "response", "response"]
+    for frame, name, value in ((archive.index, "record_id", "x"), (archive.bundles, "bundle", "y")):
+        assert f"EqualTo({name},{value})" in frame.where(f"{name} = '{value}'")._jdf.queryExecution().toString()
