@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -15,18 +16,28 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
-@pytest.mark.parametrize("rows", [1 << 18, 2])
-def test_ids_are_the_librarys(library, rows):
-    encoder = pieces.Encoder(open(MODEL, "rb").read(), rows)
+@pytest.mark.parametrize("table_bytes", [1 << 28, 2000])
+def test_ids_are_the_librarys(library, table_bytes):
+    encoder = pieces.Encoder(open(MODEL, "rb").read(), table_bytes)
     assert encoder.chunked
-    for t in TEXTS:
+    rng = random.Random(1)
+    parts = [*" ▁aé日\U0001f600\n\t\x00<s>0", "  ", "word", "</s>", "<0x0A>", " ⁇ ", "　"]
+    for t in TEXTS + ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]:
         ids, said = encoder.ids(t)
+        assert encoder.coded(t)[2] == library.decode(ids), repr(t[:40])
         assert ids == library.encode(t, add_eos=True), repr(t[:40])
         assert said == " ".join(map(str, ids))
     encoder.chunked = False
     assert encoder.ids("a  b")[0] == library.encode("a  b", add_eos=True)
 
 
+def test_the_table_is_bounded(library):
+    encoder = pieces.Encoder(open(MODEL, "rb").read(), 1 << 20)
+    for k in range(300):
+        encoder.coded(" ".join(f"w{k}x{i}" for i in range(200)))
+        assert encoder.held < (1 << 19) + 200 * 500 and len(encoder.old) + len(encoder.young) < 4000
+
+
 def test_documents(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r for r in pieces.encode(docs, MODEL, keep_ids=True).collect()}
