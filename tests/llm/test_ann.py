@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from strandlake.llm import ann
@@ -52,7 +54,8 @@ def test_parts_are_balanced_and_learned():
     assert sizes.max() - sizes.min() <= 3
     router = ann.Router(x, part, 8)
     assert (router.order(x)[:, 0] == part).mean() > 0.8
-    assert ann.probes(router, x) <= 4
+    truth = ann.neighbours(x, 20)
+    assert ann.probes(ann.Parts(router), x, np.repeat(np.arange(2000), 20), router.order(x)[:, 0][truth].ravel()) <= 4
 
 
 def test_small_and_odd_vectors(spark):
@@ -90,3 +93,58 @@ def test_repeated_query_ids_take_no_places():
         want = sorted((-(asked[a] * v).sum(), j) for j, v in rows if j != q)[:20]
         assert found[i == a].tolist() == [j for _, j in want]
         assert np.allclose(score[i == a], [-s for s, _ in want])
+
+
+def vectors(spark, folder, n, dims=24, seed=5):
+    """Clusters of clusters, n vectors, as a Parquet table and as a matrix."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 200, dims))
+    x = centres[rng.integers(0, len(centres), n)] + 0.35 * rng.normal(size=(n, dims))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    flat = pa.array(x.ravel())
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(0, n * dims + 1, dims), pa.int32()), flat)})
+    pq.write_table(table, f"{folder}/v{n}.parquet", row_group_size=16_384)
+    return spark.read.parquet(f"{folder}/v{n}.parquet"), x.astype(np.float64)
+
+
+def measured_recall(found, x, queries=300):
+    near = {}
+    for r in found.where(f"query_id < {20 * queries}").collect():
+        near.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, 20 * queries, 20)
+    truth = ann.neighbours(x, 20, asked)
+    assert set(near) == set(asked.tolist()) and all(len(v) == 20 for v in near.values())
+    return np.mean([len(near[q] & set(t)) / 20 for q, t in zip(asked.tolist(), truth.tolist())])
+
+
+def shuffled(df, rows_a_part, most_top):
+    left, right = ann.planned(df, 20, 20, ann.RECALL, rows_a_part, most_top)
+    return left.count() + right.count()
+
+
+def test_two_levels(spark, tmp_path):
+    rows = {}
+    for n in (10_000, 40_000):
+        df, x = vectors(spark, tmp_path, n)
+        rows[n] = shuffled(df, 256, 16)
+        if n == 40_000:
+            parts, _ = ann.fit(ann.usable(df), n, ann.RECALL, 256, 16)
+            assert parts.low and parts.parts > 64
+            found = ann.search(df, rows_a_part=256, most_top=16)
+            assert found.count() == n
+            assert measured_recall(found, x) >= 0.9
+    assert np.log(rows[40_000] / rows[10_000]) / np.log(4) <= 1.2
+
+
+def test_order_of_two_levels():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 8))
+    top = ann.Router(x, ann.partition(x, 4), 4)
+    low = {p: ann.Router(x, ann.partition(x, 2, seed=p), 2) for p in (0, 2)}
+    parts = ann.Parts(top, low)
+    assert parts.parts == 6
+    order = parts.order(x[:50])
+    assert all(sorted(o[o >= 0]) == list(range(6)) for o in order)
+    p_top = top.probable(x[:50])
+    want = np.hstack([p_top[:, [0]] * low[0].probable(x[:50]), p_top[:, [1]], p_top[:, [2]] * low[2].probable(x[:50]), p_top[:, [3]]])
+    assert np.array_equal(order[:, :6], np.argsort(-want, axis=1, kind="stable"))
