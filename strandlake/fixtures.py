@@ -33,11 +33,13 @@ FROM {events}"""
 
 READS_SQL = _reads_sql("documents", "varchar", ", 'g'")
 EVENT_TITLES_SQL = _event_titles_sql("events", "varchar")
-#: Colors of reads whose N are read as A; the start symbol is T, code 3.
+#: Colors of reads after the start symbol T, code 3; an N stays where it is, and colors go on across it.
 COLOR_READS_SQL = f"""
-SELECT rec_no, 'T' || array_to_string(list_transform(list_zip(codes, list_prepend(3, codes[:-2])), lambda t: cast(xor(t[1], t[2]) AS varchar)), '') AS seq,
-       '!' || quality AS quality
-FROM (SELECT rec_no, quality, list_transform(string_split(replace(seq, 'N', 'A'), ''), lambda c: cast(strpos('ACGT', c) - 1 AS int)) AS codes FROM ({READS_SQL}))"""
+SELECT rec_no, 'T' || string_agg(CASE WHEN code < 0 THEN ch ELSE cast(xor(code, coalesce(before, 3)) AS varchar) END, '' ORDER BY p) AS seq, '!' || any_value(quality) AS quality
+FROM (SELECT *, last_value(CASE WHEN code >= 0 THEN code END IGNORE NULLS) OVER (PARTITION BY rec_no ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM (SELECT rec_no, quality, p, ch, cast(strpos('ACGT', ch) - 1 AS int) AS code
+            FROM (SELECT rec_no, quality, unnest(range(0, length(seq))) AS p, unnest(string_split(seq, '')) AS ch FROM ({READS_SQL}))))
+GROUP BY rec_no"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

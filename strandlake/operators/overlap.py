@@ -2,84 +2,146 @@
 
 Reads are indexed by 36-mers at offsets 0, 12, 24, ... and probed by the 36-mers at offsets 0 to 11, so that
 any overlap of 47 bases or more meets an indexed offset. The anchors of one k-mer are capped at twelve, the
-earliest; the cap is a row number that Spark applies before the shuffle, so hot k-mers stay small.
+earliest; the cap is a row number that Spark applies before the shuffle, so hot k-mers stay small. Candidates are
+verified by slices of at most 291 bases, cut once for each place that they refer to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from os.path import commonprefix
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.scalars import phred_log
 from strandlake.sources.archive import scratch
 
 K, STEP, MAX_MATCH, CAP, MIN_LOG = 36, 12, 291, 12, -1.0
+_CODES = np.arange(256)
+_GOOD = (_CODES >= 34) & (_CODES <= 126)
+#: log10 of the probability that a base of this quality is right.
+LOGS = np.where(_GOOD, np.log10(1 - 10.0 ** (-(np.where(_GOOD, _CODES, 34) - 33) / 10.0)), -10.0)
 
 
-def _window_sums(qualities: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Rolling sums by running totals; a slice per window would cost K times as much."""
-    codes = np.arange(256)
-    good = (codes >= 34) & (codes <= 126)
-    logs = np.where(good, np.log10(1 - 10.0 ** (-(np.where(good, codes, 34) - 33) / 10.0)), -10.0)
-    for batch in qualities:
-        out = []
-        for q in batch:
-            total = np.concatenate(([0.0], np.cumsum(logs[np.frombuffer((q or "").encode(), np.uint8)])))
-            w = np.round(total[K:] - total[:-K], 9) if len(total) > K else np.zeros(0)
-            out.append((len(w), int((w > MIN_LOG).sum()), float(w.max()) if len(w) else None))
-        yield pd.DataFrame(out, columns=["windows", "eligible", "best"])
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column, and where each row begins."""
+    flat = column.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    data = np.frombuffer(flat.buffers()[2], np.uint8)[at[0] : at[-1]] if len(flat) and flat.buffers()[2] else np.zeros(0, np.uint8)
+    return data, at - at[0]
 
 
-def window_logs(reads: DataFrame) -> DataFrame:
-    """(rec_no, windows, eligible, best): windows of K positions, those whose bases are all right with a log10
-    probability above MIN_LOG, and the best log10."""
-    sums = F.pandas_udf(_window_sums, "windows int, eligible int, best double", F.PandasUDFType.SCALAR_ITER)
-    return reads.select("rec_no", sums("quality").alias("w")).select("rec_no", "w.*")
+def _windows(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of k symbols of all rows: row, offset and the sum of logs, to nine places.
+
+    One running sum over the bytes of the batch, taken anew in pieces so that its error stays below the rounding.
+    """
+    data, at = _flat(column)
+    logs, sums = LOGS[data], np.zeros(max(0, len(data) - k + 1))
+    for begin in range(0, len(sums), 1 << 14):
+        total = np.concatenate(([0.0], np.cumsum(logs[begin : begin + (1 << 14) + k - 1])))
+        sums[begin : begin + (1 << 14)] = total[k:] - total[:-k]
+    n = np.maximum(np.diff(at) - k + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, off, np.round(sums[at[row] + off], 9)
+
+
+def window_logs(reads: DataFrame, k: int = K, min_log: float = MIN_LOG) -> DataFrame:
+    """(rec_no, windows, eligible, best): windows of k positions, those whose bases are all right with a log10
+    probability above ``min_log``, and the best log10."""
+
+    def stats(quality: pa.Array) -> pa.Array:
+        row, _, sums = _windows(quality, k)
+        n = np.bincount(row, minlength=len(quality))
+        best = np.full(len(quality), -np.inf)
+        np.maximum.at(best, row, sums)
+        columns = [pa.array(n.astype(np.int32)), pa.array(np.bincount(row[sums > min_log], minlength=len(quality)).astype(np.int32)), pa.array(best, mask=n == 0)]
+        return pa.StructArray.from_arrays(columns, ["windows", "eligible", "best"])
+
+    return reads.select("rec_no", F.arrow_udf(stats, "struct<windows: int, eligible: int, best: double>")("quality").alias("w")).select("rec_no", "w.*")
 
 
 def anchors(reads: DataFrame, k: int = K, step: int = STEP, cap: int = CAP, min_log: float = MIN_LOG) -> DataFrame:
-    """(kmer, rec_no, off): eligible windows at multiples of ``step``, at most ``cap`` for each k-mer."""
-    long_enough = reads.where(F.length("seq") > k)
-    each = long_enough.withColumn("off", F.explode(F.expr(f"sequence(0, length(seq) - {k + 1}, {step})")))
-    each = each.withColumns({"kmer": F.substring("seq", F.col("off") + 1, F.lit(k)), "q": F.substring("quality", F.col("off") + 1, F.lit(k))})
-    sure = F.aggregate(F.transform(F.split("q", ""), phred_log), F.lit(0.0), lambda a, x: a + x) > min_log
-    each = each.where(~F.contains("kmer", F.lit("N"))).where(sure).select("kmer", "rec_no", "off")
+    """(kmer, rec_no, off): windows at multiples of ``step`` that are eligible by ``window_logs`` and end before the
+    read does, at most ``cap`` for each k-mer."""
+
+    def kmers(seq: pa.Array, quality: pa.Array) -> pa.Array:
+        row, off, sums = _windows(quality, k)
+        data, at = _flat(seq)
+        keep = (off % step == 0) & (sums > min_log) & (off + k < np.diff(at)[row])
+        row, off = row[keep], off[keep]
+        text = data[(at[row] + off)[:, None] + np.arange(k)]
+        known = (text != ord("N")).all(1)
+        row, off, text = row[known], off[known], np.ascontiguousarray(text[known])
+        made = pa.LargeStringArray.from_buffers(len(off), pa.py_buffer(np.arange(0, k * len(off) + 1, k, dtype=np.int64)), pa.py_buffer(text))
+        each = pa.StructArray.from_arrays([made.cast(pa.string()), pa.array(off.astype(np.int32))], ["kmer", "off"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(seq) + 1)).astype(np.int32)), each)
+
+    each = reads.select("rec_no", F.explode(F.arrow_udf(kmers, "array<struct<kmer: string, off: int>>")("seq", "quality")).alias("a")).select("a.kmer", "rec_no", "a.off")
     place = F.row_number().over(Window.partitionBy("kmer").orderBy("rec_no", "off"))
     return each.withColumn("place", place).where(F.col("place") <= cap).drop("place")
 
 
-def _common(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Length of the common prefix."""
-    for a, b in batches:
-        yield pd.Series([len(commonprefix(pair)) for pair in zip(a, b)], dtype="int32")
+def common_prefix(a: str, b: str, most: int = MAX_MATCH) -> Column:
+    """Length of the common prefix of two columns of at most ``most`` symbols, by halving steps."""
+    steps = ", ".join(str(1 << i) for i in reversed(range(most.bit_length())))
+    n = f"least(length({a}), length({b}))"
+    return F.expr(f"aggregate(array({steps}), 0, (m, s) -> if(m + s <= {n} and substring({a}, m + 1, s) = substring({b}, m + 1, s), m + s, m))")
+
+
+def candidates(reads: DataFrame, k: int = K, step: int = STEP, cap: int = CAP, min_log: float = MIN_LOG) -> DataFrame:
+    """(rec_no, ref_rec_no, ref_off, i, match_len): every prefix of at least k bases that is found in an earlier read."""
+    probes = reads.where(F.length("seq") >= k).select("rec_no", "seq", F.explode(F.expr(f"sequence(0, least({step - 1}, length(seq) - {k}))")).alias("i"))
+    probes = probes.select("rec_no", "i", F.substring("seq", F.col("i") + 1, F.lit(k)).alias("kmer")).where(~F.contains("kmer", F.lit("N")))
+    index = anchors(reads, k, step, cap, min_log).select("kmer", F.col("rec_no").alias("ref_rec_no"), "off")
+    met = probes.join(index, "kmer").where("ref_rec_no < rec_no and off >= i")
+    met = _stored(met.groupBy("rec_no", "ref_rec_no", (F.col("off") - F.col("i")).alias("ref_off")).agg(F.min("i").alias("i")))
+    before_n = lambda c: F.substring_index(c, "N", 1)
+    # a place is referred to by many reads: its slice is cut from the whole read once
+    places = met.select("ref_rec_no", "ref_off").distinct()
+    ref = reads.select(F.col("rec_no").alias("ref_rec_no"), "seq").join(places, "ref_rec_no")
+    ref = ref.select("ref_rec_no", "ref_off", before_n(F.expr(f"substring(seq, ref_off + 1, {MAX_MATCH})")).alias("b")).where(F.length("b") >= k)
+    own = reads.select("rec_no", before_n(F.expr(f"substring(seq, 1, {MAX_MATCH})")).alias("a")).where(F.length("a") >= k)
+    met = met.join(own, "rec_no").join(ref, ["ref_rec_no", "ref_off"]).where(F.substring("a", 1, k) == F.substring("b", 1, k))
+    return met.select("rec_no", "ref_rec_no", "ref_off", "i", common_prefix("a", "b").alias("match_len"))
 
 
-def best_overlaps(reads: DataFrame, k: int = K, step: int = STEP, cap: int = CAP, min_log: float = MIN_LOG) -> DataFrame:
+def best_overlaps(reads: DataFrame, k: int = K, step: int = STEP, cap: int = CAP, min_log: float = MIN_LOG, mode: str = "any") -> DataFrame:
     """(rec_no, ref_rec_no, ref_off, match_len): for each read the longest prefix found in an earlier read.
 
     Ties go to the smallest probe offset, then the earliest read. A match ends before any N and at 291 bases.
+    With ``mode`` "any" every earlier read may be a source; with "depth1" only reads that have no overlap
+    themselves, so that no chain arises.
     """
-    probes = reads.where(F.length("seq") >= k).select("rec_no", "seq", F.explode(F.expr(f"sequence(0, least({step - 1}, length(seq) - {k}))")).alias("i"))
-    probes = probes.withColumn("kmer", F.substring("seq", F.col("i") + 1, F.lit(k))).where(~F.contains("kmer", F.lit("N")))
-    index = anchors(reads, k, step, cap, min_log).select("kmer", F.col("rec_no").alias("ref_rec_no"), "off")
-    met = probes.select("rec_no", "i", "kmer").join(index, "kmer").where("ref_rec_no < rec_no and off >= i")
-    met = met.select("rec_no", "i", "ref_rec_no", (F.col("off") - F.col("i")).alias("ref_off")).groupBy("rec_no", "ref_rec_no", "ref_off").agg(F.min("i").alias("i"))
-    own = reads.select("rec_no", F.expr(f"substring(seq, 1, {MAX_MATCH})").alias("a"))
-    ref = reads.select(F.col("rec_no").alias("ref_rec_no"), F.col("seq").alias("ref"))
-    met = met.join(own, "rec_no").join(ref, "ref_rec_no").withColumn("b", F.substring("ref", F.col("ref_off") + 1, F.lit(MAX_MATCH)))
-    before_n = lambda c: F.substring_index(c, "N", 1)
-    met = met.withColumns({"a": before_n("a"), "b": before_n("b")}).where(F.substring("a", 1, k) == F.substring("b", 1, k))
-    met = met.withColumn("match_len", F.pandas_udf(_common, "int", F.PandasUDFType.SCALAR_ITER)("a", "b"))
-    best = met.groupBy("rec_no").agg(F.min(F.struct((-F.col("match_len")).alias("m"), "i", "ref_rec_no", "ref_off")).alias("b"))
+    found = candidates(reads, k, step, cap, min_log)
+    if mode == "depth1":
+        found = _stored(found)
+        found = found.join(_sources(found), "ref_rec_no", "left_semi")
+    best = found.groupBy("rec_no").agg(F.min(F.struct((-F.col("match_len")).alias("m"), "i", "ref_rec_no", "ref_off")).alias("b"))
     return best.select("rec_no", "b.ref_rec_no", "b.ref_off", (-F.col("b.m")).alias("match_len"))
 
 
+def _sources(found: DataFrame) -> DataFrame:
+    """(ref_rec_no): of the reads referred to, those that overlap no such read before them.
+
+    Every round settles the reads that meet a new source, and makes those sources whose candidates are all settled
+    otherwise; the earliest open read is always among them. Only pairs of read numbers are moved.
+    """
+    open_ = _stored(found.select("rec_no", "ref_rec_no").distinct())
+    own = lambda df: df.select(F.col("rec_no").alias("ref_rec_no")).distinct()
+    new = _stored(open_.select("ref_rec_no").distinct().join(own(open_), "ref_rec_no", "left_anti"))
+    every = [new]
+    while not open_.isEmpty():
+        matched = _stored(open_.join(new, "ref_rec_no", "left_semi").select("rec_no").distinct())
+        left = _stored(open_.join(matched, "rec_no", "left_anti"))
+        open_ = _stored(left.join(own(matched), "ref_rec_no", "left_anti"))
+        new = _stored(own(left).join(own(open_), "ref_rec_no", "left_anti"))
+        every.append(new)
+    return reduce(DataFrame.union, every)
+
+
 def strip(reads: DataFrame, overlaps: DataFrame) -> DataFrame:
     """(rec_no, ref_rec_no, ref_off, match_len, tail): reads without the prefix that another read holds."""
     rows = reads.join(overlaps, "rec_no", "left")

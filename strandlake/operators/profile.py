@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators import runs
 from strandlake.functions.scalars import BLOCK, SUPERBLOCK, bit_length, block_id, kept_length, last_kept, run_estimate, symbols
 
 
@@ -51,11 +56,30 @@ def running_max(per_superblock: DataFrame, group: int = 4096) -> DataFrame:
     return rows.withColumn("inside", inside).join(heads, "g").withColumn("running_max_len", F.greatest("inside", "before")).drop("g", "inside", "before")
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sb_id, pos, symbol, n) of each batch, from all its bytes at once."""
+    for b in batches:
+        flat = b.column("quality").cast(pa.large_binary()).fill_null(b"")
+        at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        data = np.frombuffer(flat.buffers()[2], np.uint8)[at[0] : at[-1]] if len(flat) and flat.buffers()[2] else np.zeros(0, np.uint8)
+        size = np.diff(at)
+        names, sb = np.unique(b.column("sb_id").to_numpy(), return_inverse=True)
+        place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], size)
+        width = int(size.max(initial=0))
+        key, n = np.unique((np.repeat(sb, size) * width + place) * 256 + data, return_counts=True)
+        symbol = pa.array(np.array([chr(i) for i in range(256)])[key & 255], pa.string())
+        columns = [pa.array(names[(key >> 8) // max(width, 1)]), pa.array(((key >> 8) % max(width, 1) + 1).astype(np.int32)), symbol, pa.array(n.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["sb_id", "pos", "symbol", "n"])
+
+
 def quality_histogram(reads: DataFrame, size: int = SUPERBLOCK, truncate: bool = False) -> DataFrame:
-    """(sb_id, pos, symbol, n) with the total of all positions at pos 0; ``truncate`` leaves trailing # out."""
+    """(sb_id, pos, symbol, n) with the total of all positions at pos 0; ``truncate`` leaves trailing # out.
+
+    Symbols are bytes. A kernel counts each batch, so that a row per position and symbol is shuffled, not one per
+    symbol of the corpus."""
     text = F.substring("quality", F.lit(1), kept_length(F.col("quality"))) if truncate else F.col("quality")
-    each = superblocks(reads, size).select("sb_id", F.posexplode(symbols(text)).alias("p", "symbol")).where("symbol <> ''")
-    at = each.groupBy("sb_id", (F.col("p") + 1).alias("pos"), "symbol").agg(F.count("*").alias("n"))
+    each = superblocks(reads, size).select("sb_id", text.alias("quality")).mapInArrow(_counts, "sb_id bigint, pos int, symbol string, n bigint")
+    at = each.groupBy("sb_id", "pos", "symbol").agg(F.sum("n").alias("n"))
     return at.union(at.groupBy("sb_id", F.lit(0).alias("pos"), "symbol").agg(F.sum("n").alias("n")))
 
 
@@ -89,7 +113,10 @@ def color_space(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
 
 
 def superblock_header(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
-    """One row of facts per superblock."""
+    """One row of facts per superblock. ``base_mode`` is how many bits a base takes; ``in_colors`` says that all reads are
+    colors after one start symbol, so that they can be turned into bases and back; ``max_run`` is the longest run
+    within a block, up to the cap, where runs are what is coded."""
+    same = lambda c: F.min(F.substring(c, 1, 1)) == F.max(F.substring(c, 1, 1))
     rows = superblocks(reads, size).withColumn("first", F.col("rec_no") % BLOCK == 0)
     q, total = F.col("quality"), lambda c: F.sum(F.when(F.col("first"), c).otherwise(0)).cast("bigint")
     facts = rows.groupBy("sb_id").agg(
@@ -100,13 +127,21 @@ def superblock_header(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
         F.size(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(symbols(F.replace("seq", F.lit("N"), F.lit("")))))))).alias("n_bases"),
         F.size(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(symbols(q)))))).alias("n_qualities"),
         F.bool_or(F.substring("seq", 2, 1).rlike("[0-3]")).alias("color"),
+        same("seq").alias("constant_start_base"),
+        same("quality").alias("constant_start_quality"),
+        F.min(F.substring("seq", 1, 1)).alias("start_base"),
+        F.min(F.substring("quality", 1, 1)).alias("start_quality"),
+        F.bool_and(F.col("seq").rlike("^[ACGT][0-3.N]*$")).alias("only_colors"),
         total(F.lit(1)).alias("sampled"),
         total(F.length(q)).alias("raw"),
         total(last_kept(q)).alias("trunc"),
         total(run_estimate(q)).alias("runs"),
     )
-    facts = facts.withColumns({"overlaps": F.col("max_len") > 36, "method": chosen_method()})
-    return running_max(facts).drop("sampled", "raw", "trunc", "runs")
+    constant = F.col("constant_start_base") & F.col("constant_start_quality")
+    facts = facts.withColumns({"overlaps": F.col("max_len") > 36, "method": chosen_method(), "in_colors": F.col("color") & F.col("only_colors") & constant, "base_mode": F.greatest(bit_length(F.col("n_bases") - 1), F.lit(2))})
+    longest = runs.quality_runs(reads).groupBy(block_id(F.col("block_id"), size // BLOCK).alias("sb_id")).agg(F.max("run_len").alias("longest"))
+    facts = facts.join(longest, "sb_id", "left").withColumn("max_run", F.when(F.col("method") == "rle", F.col("longest")))
+    return running_max(facts).drop("sampled", "raw", "trunc", "runs", "longest", "only_colors")
 
 
 def record_numbers(reads: DataFrame, size: int = SUPERBLOCK, block: int = BLOCK) -> DataFrame:

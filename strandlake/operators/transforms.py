@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.scalars import BASES
@@ -19,9 +18,13 @@ def n_transfer(reads: DataFrame) -> DataFrame:
 
 
 def n_restore(reads: DataFrame) -> DataFrame:
-    """Inverse of ``n_transfer``: positions ascend, so each N goes in at its final place."""
-    seq = F.expr("aggregate(n_pos, seq, (s, p) -> concat(substring(s, 1, p - 1), 'N', substring(s, p)))")
-    return reads.withColumn("seq", seq).drop("n_pos")
+    """Inverse of ``n_transfer``: the pieces of ``seq`` between the positions, joined by N."""
+    pieces = F.expr(
+        """transform(sequence(0, size(n_pos)), k -> substring(seq,
+               if(k = 0, 1, element_at(n_pos, k) - k + 1),
+               if(k = size(n_pos), length(seq), element_at(n_pos, k + 1) - k - 1) - if(k = 0, 0, element_at(n_pos, k) - k)))"""
+    )
+    return reads.withColumn("seq", F.when(F.size("n_pos") > 0, F.array_join(pieces, "N")).otherwise(F.col("seq"))).drop("n_pos")
 
 
 def plus_flags(reads: DataFrame) -> DataFrame:
@@ -41,60 +44,108 @@ def plus_rebuild(stored: DataFrame) -> DataFrame:
 
 
 _LETTERS = np.frombuffer(BASES.encode(), np.uint8)
-_CODE = np.zeros(256, np.uint8)  # of bases and of the digits that stand for colors
+_CODE, _BASE, _COLOR = np.zeros(256, np.uint8), np.zeros(256, bool), np.zeros(256, bool)
 for _k, _c in enumerate(BASES):
     _CODE[[ord(_c), ord(str(_k))]] = _k
+    _BASE[ord(_c)], _COLOR[ord(str(_k))] = True, True
 
 
-def _codes(text: str) -> np.ndarray:
-    return _CODE[np.frombuffer(text.encode(), np.uint8)]
-
+class _Texts:
+    """A column of an Arrow batch as one run of bytes; all rows are worked on at once."""
 
-def _each(kind: str, one: Callable) -> Callable:
-    """A function of one string as an Arrow UDF; running XORs and bit packing have no built-in form of linear cost."""
+    def __init__(self, column: pa.Array):
+        self.valid = column.is_valid()
+        flat = column.cast(pa.large_binary()).fill_null(b"")
+        self.at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        data = flat.buffers()[2]
+        self.data = np.frombuffer(data, np.uint8)[self.at[0] : self.at[-1]] if data and len(flat) else np.zeros(0, np.uint8)
+        self.at = self.at - self.at[0]
+        self.size = np.diff(self.at)
+        self.row = np.repeat(np.arange(len(flat)), self.size)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(one, na_action="ignore")
+    def made(self, data: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+        """Rows of new sizes; null where the column was."""
+        at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data, np.uint8))])
+        return pc.if_else(self.valid, out.cast(kind), pa.scalar(None, kind))
 
-    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)
 
+def color_encode(reads: DataFrame, start: str | Column = "T", start_quality: str | Column = "!") -> DataFrame:
+    """Bases to colors: each color is the XOR of a base's code and that of the base before it, after a start symbol.
 
-def color_encode(reads: DataFrame, start: str = "T", start_quality: str = "!") -> DataFrame:
-    """Bases to colors: each color is the XOR of a base's code and its predecessor's, after a start symbol."""
+    Other letters than A, C, G and T stay as they are, and colors go on across them; a digit is an error. The
+    start symbols may be columns.
+    """
 
-    def colors(seq: str) -> str:
-        code = _codes(start + seq)
-        return start + ((code[1:] ^ code[:-1]) + np.uint8(ord("0"))).tobytes().decode()
+    def colors(seq: pa.Array, first: pa.Array) -> pa.Array:
+        t, head = _Texts(seq), _Texts(first).data
+        if _COLOR[t.data].any():
+            raise ValueError("a sequence holds colors already")
+        base, code, here = _BASE[t.data], _CODE[t.data], np.arange(len(t.data))
+        last = np.concatenate(([-1], np.maximum.accumulate(np.where(base, here, -1))[:-1])) if len(here) else here
+        before = np.where(last >= t.at[t.row], code[last], _CODE[head[t.row]])
+        out = np.zeros(len(t.data) + len(t.size), np.uint8)
+        out[t.at[:-1] + np.arange(len(t.size))] = head
+        out[here + t.row + 1] = np.where(base, (code ^ before) + ord("0"), t.data)
+        return t.made(out, t.size + 1, pa.string())
 
-    return reads.withColumns({"seq": _each("string", colors)("seq"), "quality": F.concat(F.lit(start_quality), "quality")})
+    start, start_quality = (F.lit(c) if isinstance(c, str) else c for c in (start, start_quality))
+    return reads.withColumns({"seq": F.arrow_udf(colors, "string")("seq", start), "quality": F.concat(start_quality, "quality")})
 
 
 def color_decode(reads: DataFrame) -> DataFrame:
     """Colors to bases by a running XOR from the start symbol, which goes with its quality."""
 
-    def bases(seq: str) -> str:
-        return _LETTERS[np.bitwise_xor.accumulate(_codes(seq))][1:].tobytes().decode()
+    def bases(seq: pa.Array) -> pa.Array:
+        t = _Texts(seq)
+        head = np.zeros(len(t.data), bool)
+        head[t.at[:-1][t.size > 0]] = True
+        color = _COLOR[t.data] & ~head
+        total = np.bitwise_xor.accumulate(np.where(color | head, _CODE[t.data], 0)) if len(t.data) else t.data
+        earlier = np.concatenate(([0], total))[t.at[:-1]].astype(np.uint8)  # what the rows before have summed to
+        out = np.where(color, _LETTERS[total ^ earlier[t.row]], t.data)
+        return t.made(out[~head], np.maximum(t.size - 1, 0), pa.string())
 
-    return reads.withColumns({"seq": _each("string", bases)("seq"), "quality": F.expr("substring(quality, 2)")})
+    return reads.withColumns({"seq": F.arrow_udf(bases, "string")("seq"), "quality": F.expr("substring(quality, 2)")})
 
 
-def pack_bases(reads: DataFrame) -> DataFrame:
-    """Four bases of A, C, G, T to a byte, the first in the highest bits; ``packed`` BINARY and ``n_bases``."""
+_OTHERS = "array<struct<pos: int, byte: int>>"
 
-    def pack(seq: str) -> bytes:
-        code = _codes(seq)
-        four = np.concatenate((code, np.zeros(-len(code) % 4, np.uint8))).reshape(-1, 4)
-        return (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).tobytes()
 
-    return reads.withColumns({"packed": _each("binary", pack)("seq"), "n_bases": F.length("seq")})
+def pack_bases(reads: DataFrame) -> DataFrame:
+    """Four bases of A, C, G, T to a byte, the first in the highest bits: ``packed`` BINARY, ``n_bases``, and in
+    ``others`` the place (from 0) and byte of what is none of the four, which is packed as A."""
+
+    def pack(seq: pa.Array) -> pa.Array:
+        t = _Texts(seq)
+        sizes = -(-t.size // 4)
+        base = np.concatenate(([0], np.cumsum(sizes)))[:-1] * 4
+        four = np.zeros(4 * int(sizes.sum()), np.uint8)
+        place = np.arange(len(t.data)) - t.at[t.row]
+        four[base[t.row] + place] = np.where(_BASE[t.data], _CODE[t.data], 0)
+        four = four.reshape(-1, 4)
+        packed = t.made(four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3], sizes, pa.binary())
+        odd = np.flatnonzero(~_BASE[t.data])
+        ends = np.searchsorted(odd, t.at).astype(np.int32)
+        each = pa.StructArray.from_arrays([pa.array(place[odd].astype(np.int32)), pa.array(t.data[odd].astype(np.int32))], ["pos", "byte"])
+        return pa.StructArray.from_arrays([packed, pa.ListArray.from_arrays(pa.array(ends), each)], ["packed", "others"])
+
+    made = F.arrow_udf(pack, f"struct<packed: binary, others: {_OTHERS}>")("seq")
+    return reads.withColumns({"made": made, "n_bases": F.octet_length("seq")}).withColumns({"packed": F.col("made.packed"), "others": F.col("made.others")}).drop("made")
 
 
 def unpack_bases(packed: DataFrame) -> DataFrame:
-    """Inverse of ``pack_bases``."""
-
-    def unpack(data: bytes) -> str:
-        b = np.frombuffer(data, np.uint8)
-        return _LETTERS[np.stack([b >> 6, b >> 4 & 3, b >> 2 & 3, b & 3], 1).ravel()].tobytes().decode()
-
-    return packed.withColumn("seq", F.substring(_each("string", unpack)("packed"), F.lit(1), F.col("n_bases")))
+    """Inverse of ``pack_bases``, from packed, n_bases and others."""
+
+    def unpack(data: pa.Array, n: pa.Array, others: pa.Array) -> pa.Array:
+        t = _Texts(data)
+        sizes = n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        every = _LETTERS[np.stack([t.data >> 6, t.data >> 4 & 3, t.data >> 2 & 3, t.data & 3], 1).ravel()]
+        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        out = every[np.repeat(4 * t.at[:-1] - begin, sizes) + np.arange(sizes.sum())].copy()
+        lists = others.fill_null([]) if others.null_count else others
+        row, each = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), lists.flatten()
+        out[begin[row] + each.field("pos").to_numpy(zero_copy_only=False)] = each.field("byte").to_numpy(zero_copy_only=False)
+        return t.made(out, sizes, pa.string())
+
+    return packed.withColumn("seq", F.arrow_udf(unpack, "string")("packed", "n_bases", "others"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from strandlake.fixtures import COLOR_READS_SQL, EVENT_TITLES_SQL, READS_SQL, event_titles, reads, table
 from strandlake.functions.scalars import SUPERBLOCK, bit_length, kept_length, last_kept, n_count, run_estimate
-from strandlake.operators import deltas, huffman, overlap, profile, runs, sizes, title_coding, titles, transforms
-from strandlake.sources import archive, fastq
+from strandlake.operators import deltas, huffman, overlap, profile, quality_coding, runs, sizes, title_coding, titles, transforms
+from strandlake.sources import archive, coded, fastq
 
 SB = 256
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,19 +291,14 @@ def bit_lengths(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", bit_length(F.col("user_id")).alias("bits"))
 
 
-def _plain(spark, sf_dir):
-    """Reads over four letters: N is read as A."""
-    return reads(spark, sf_dir).select("rec_no", F.replace("seq", F.lit("N"), F.lit("A")).alias("seq"), "quality")
-
-
 @query("SELECT rec_no, seq, quality FROM color_reads")
 def color_encode(spark, sf_dir):
-    return transforms.color_encode(_plain(spark, sf_dir))
+    return transforms.color_encode(reads(spark, sf_dir).select("rec_no", "seq", "quality"))
 
 
-@query("SELECT rec_no, replace(seq, 'N', 'A') AS seq, quality FROM reads")
+@query("SELECT rec_no, seq, quality FROM reads")
 def color_decode(spark, sf_dir):
-    return transforms.color_decode(transforms.color_encode(_plain(spark, sf_dir)))
+    return transforms.color_decode(color_encode(spark, sf_dir))
 
 
 @query(
@@ -317,16 +312,16 @@ def color_space(spark, sf_dir):
 
 
 @query(
-    """, d AS (SELECT rec_no, length(seq) AS n, list_transform(string_split(rpad(translate(seq, 'ACGTN', '01230'), cast(ceil(length(seq) / 4.0) * 4 AS int), '0'), ''), lambda c: cast(c AS int)) AS d FROM reads)
-    SELECT rec_no, cast(n AS int) AS n_bases, array_to_string(list_transform(range(1, cast(len(d) // 2 + 1 AS bigint)), lambda i: substring('0123456789ABCDEF', 4 * d[2 * i - 1] + d[2 * i] + 1, 1)), '') AS packed FROM d"""
+    """, d AS (SELECT rec_no, length(seq) AS n, length(seq) - length(replace(seq, 'N', '')) AS others, list_transform(string_split(rpad(translate(seq, 'ACGTN', '01230'), cast(ceil(length(seq) / 4.0) * 4 AS int), '0'), ''), lambda c: cast(c AS int)) AS d FROM reads)
+    SELECT rec_no, cast(n AS int) AS n_bases, cast(others AS int) AS others, array_to_string(list_transform(range(1, cast(len(d) // 2 + 1 AS bigint)), lambda i: substring('0123456789ABCDEF', 4 * d[2 * i - 1] + d[2 * i] + 1, 1)), '') AS packed FROM d"""
 )
 def pack_two_bit(spark, sf_dir):
-    return transforms.pack_bases(_plain(spark, sf_dir)).select("rec_no", "n_bases", F.hex("packed").alias("packed"))
+    return transforms.pack_bases(reads(spark, sf_dir)).select("rec_no", "n_bases", F.size("others").alias("others"), F.hex("packed").alias("packed"))
 
 
-@query("SELECT rec_no, replace(seq, 'N', 'A') AS seq FROM reads")
+@query("SELECT rec_no, seq FROM reads")
 def unpack_two_bit(spark, sf_dir):
-    return transforms.unpack_bases(transforms.pack_bases(_plain(spark, sf_dir)).drop("seq")).select("rec_no", "seq")
+    return transforms.unpack_bases(transforms.pack_bases(reads(spark, sf_dir)).drop("seq")).select("rec_no", "seq")
 
 
 _LOG = "CASE WHEN ascii(ch) < 34 OR ascii(ch) > 126 THEN -10.0 ELSE log10(1 - pow(10.0, -(ascii(ch) - 33) / 10.0)) END"
@@ -376,24 +371,59 @@ def overlap_restore(spark, sf_dir):
     return overlap.restore(overlap.strip(r, overlap.best_overlaps(r)))
 
 
+@query("SELECT rec_no, seq FROM reads")
+def overlap_depth1_restore(spark, sf_dir):
+    r = reads(spark, sf_dir).select("rec_no", "seq", "quality")
+    return overlap.restore(overlap.strip(r, overlap.best_overlaps(r, mode="depth1")))
+
+
 @query()
 def huffman_lengths(spark, sf_dir):
     return huffman.huffman(sizes.models(reads(spark, sf_dir), SB))
 
 
+@query("SELECT rec_no, quality FROM reads")
+def huffman_round_trip(spark, sf_dir):
+    r = reads(spark, sf_dir).select("rec_no", "quality")
+    methods = profile.quality_method(r, SB)
+    methods = methods.withColumn("method", F.element_at(F.array(F.lit("rle"), F.lit("plain"), F.lit("truncate")), (F.col("sb_id") % 3 + 1).cast("int")))  # all three
+    codes = huffman.huffman(quality_coding.models(r, methods, SB))
+    return quality_coding.decode(quality_coding.lengths(r, methods, SB), quality_coding.encode(r, methods, codes, SB), codes)
+
+
+@query("SELECT rec_no, title, seq, plus, quality FROM reads")
+def archive_encode_decode(spark, sf_dir):
+    path = archive.scratch(spark, "coded")
+    coded.write(reads(spark, sf_dir), path, SB)
+    return coded.read(spark, path)
+
+
+@query("SELECT rec_no, title, seq, plus, quality FROM reads WHERE rec_no = 150")
+def coded_lookup(spark, sf_dir):
+    path = archive.scratch(spark, "coded")
+    coded.write(reads(spark, sf_dir), path, SB)
+    return coded.lookup(spark, path, 150)
+
+
 @query()
 def size_report(spark, sf_dir):
     return sizes.size_report(reads(spark, sf_dir), SB)
 
 
 @query(
-    f"""SELECT f.sb_id, records, plus_only, variable_length, max_len, n_bases, n_qualities, color, max_len > 36 AS overlaps, {_METHOD} AS method,
+    _RUNS
+    + f""" SELECT f.sb_id, records, plus_only, variable_length, max_len, n_bases, n_qualities, color, constant_start_base, constant_start_quality, start_base, start_quality,
+        max_len > 36 AS overlaps, {_METHOD} AS method, color AND only_colors AND constant_start_base AND constant_start_quality AS in_colors,
+        cast(greatest(CASE WHEN n_bases <= 1 THEN 0 ELSE length(bin(n_bases - 1)) END, 2) AS int) AS base_mode, CASE WHEN {_METHOD} = 'rle' THEN longest END AS max_run,
         cast(max(max_len) OVER (ORDER BY f.sb_id) AS int) AS running_max_len
         FROM (SELECT {_sb()} AS sb_id, cast(count(*) AS bigint) AS records, bool_and(length(plus) = 1) AS plus_only, min(length(quality)) <> max(length(quality)) AS variable_length,
-                     cast(max(length(quality)) AS int) AS max_len, bool_or(regexp_matches(substring(seq, 2, 1), '[0-3]')) AS color FROM reads GROUP BY 1) f
+                     cast(max(length(quality)) AS int) AS max_len, bool_or(regexp_matches(substring(seq, 2, 1), '[0-3]')) AS color,
+                     min(substring(seq, 1, 1)) = max(substring(seq, 1, 1)) AS constant_start_base, min(substring(quality, 1, 1)) = max(substring(quality, 1, 1)) AS constant_start_quality,
+                     min(substring(seq, 1, 1)) AS start_base, min(substring(quality, 1, 1)) AS start_quality, bool_and(regexp_matches(seq, '^[ACGT][0-3.N]*$')) AS only_colors FROM mixed GROUP BY 1) f
         JOIN ({_SAMPLE}) s ON s.sb_id = f.sb_id
-        JOIN (SELECT {_sb()} AS sb_id, cast(count(DISTINCT ch) AS int) AS n_bases FROM ({_chars('seq', 'reads')}) WHERE ch <> 'N' GROUP BY 1) b ON b.sb_id = f.sb_id
-        JOIN (SELECT {_sb()} AS sb_id, cast(count(DISTINCT ch) AS int) AS n_qualities FROM ({_chars('quality', 'reads')}) GROUP BY 1) q ON q.sb_id = f.sb_id"""
+        JOIN (SELECT {_sb()} AS sb_id, cast(count(DISTINCT ch) AS int) AS n_bases FROM ({_chars('seq', 'mixed')}) WHERE ch <> 'N' GROUP BY 1) b ON b.sb_id = f.sb_id
+        JOIN (SELECT {_sb()} AS sb_id, cast(count(DISTINCT ch) AS int) AS n_qualities FROM ({_chars('quality', 'mixed')}) GROUP BY 1) q ON q.sb_id = f.sb_id
+        JOIN (SELECT cast(block_id // 8 AS bigint) AS sb_id, cast(max(run_len) AS int) AS longest FROM runs GROUP BY 1) l ON l.sb_id = f.sb_id""".replace("FROM mixed", "FROM reads").replace("mixed", "reads")
 )
 def superblock_header(spark, sf_dir):
     return profile.superblock_header(reads(spark, sf_dir), SB)
@@ -443,7 +473,27 @@ def title_decode(spark, sf_dir):
     return title_coding.decode(title_coding.encode(source), source)
 
 
-@query()
+_TITLE_CODES = (
+    _NUMBERS
+    + f""", k AS (SELECT sb_id, field_no, min(txt) = max(txt) AS constant, bool_and({_NUMERIC}) AS numeric, min(length(txt)) AS min_len, min({_VALUE}) AS min_value, count(*) AS records FROM fields GROUP BY 1, 2),
+    a AS (SELECT *, value - lag(value) OVER (PARTITION BY sb_id, field_no ORDER BY rec_no) AS delta FROM n),
+    g AS (SELECT sb_id, field_no, coalesce(min(delta), 0) AS min_delta, max(value) - min(value) < coalesce(max(delta) - min(delta), 0) AS by_value FROM a GROUP BY 1, 2),
+    e AS (SELECT n.*, {_sb(32)} AS block_id, value - lag(value) OVER (PARTITION BY {_sb(32)}, field_no ORDER BY rec_no) AS delta FROM n),
+    fl AS (SELECT block_id, e.field_no, min(value) = max(value) AS same_value, coalesce(min(delta) = max(delta) AND max(delta) = any_value(min_delta), false) AS least_delta
+           FROM e JOIN g ON g.sb_id = e.sb_id AND g.field_no = e.field_no GROUP BY 1, 2),
+    numbers AS (SELECT e.sb_id, e.block_id, e.rec_no, e.field_no, CASE WHEN delta IS NULL THEN value - min_value WHEN same_value OR (NOT by_value AND least_delta) THEN NULL
+                       WHEN by_value THEN value - min_value ELSE delta - min_delta END AS num, NULL::varchar AS chars
+                FROM e JOIN k ON k.sb_id = e.sb_id AND k.field_no = e.field_no AND NOT constant JOIN g ON g.sb_id = e.sb_id AND g.field_no = e.field_no JOIN fl ON fl.block_id = e.block_id AND fl.field_no = e.field_no),
+    ch AS (SELECT sb_id, field_no, rec_no, unnest(range(0, length(txt))) AS p, unnest(string_split(txt, '')) AS c FROM fields WHERE length(txt) > 0),
+    fixed AS (SELECT ch.sb_id, ch.field_no, p FROM ch JOIN k ON k.sb_id = ch.sb_id AND k.field_no = ch.field_no GROUP BY 1, 2, 3 HAVING min(c) = max(c) AND count(*) = max(records)),
+    loose AS (SELECT sb_id, field_no, rec_no, string_agg(c, '' ORDER BY p) AS chars FROM ch ANTI JOIN fixed USING (sb_id, field_no, p) GROUP BY 1, 2, 3),
+    texts AS (SELECT f.sb_id, cast(f.rec_no // 32 AS bigint) AS block_id, f.rec_no, f.field_no, cast(length(txt) - min_len AS bigint) AS num, coalesce(chars, '') AS chars
+              FROM fields f JOIN k ON k.sb_id = f.sb_id AND k.field_no = f.field_no AND NOT constant AND NOT numeric LEFT JOIN loose l ON l.sb_id = f.sb_id AND l.field_no = f.field_no AND l.rec_no = f.rec_no),
+    odd AS (SELECT {_sb(SUPERBLOCK)} AS sb_id, {_sb(32)} AS block_id, rec_no, -1 AS field_no, NULL::bigint AS num, title AS chars FROM titles ANTI JOIN good USING (rec_no))"""
+)
+
+
+@query(_TITLE_CODES + " SELECT * FROM numbers WHERE num IS NOT NULL UNION ALL SELECT * FROM texts UNION ALL SELECT * FROM odd")
 def title_encode(spark, sf_dir):
     return title_coding.encode(event_titles(spark, sf_dir)).rows
 

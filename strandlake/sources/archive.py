@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,6 +26,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """All reads in the order of rec_no."""
+    return read(spark, path).orderBy("rec_no")
+
+
 def lookup(spark: SparkSession, path: str, rec_no: int) -> DataFrame:
     """The read with this number; none if it is out of range."""
     return read(spark, path).where(F.col("rec_no") == rec_no)
@@ -39,6 +45,18 @@ def block_index(reads: DataFrame, superblock: int = SUPERBLOCK, block: int = BLO
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-")
+    """A new folder that driver and executors share: below spark.checkpoint.dir or the checkpoint folder of the
+    session, or a local one where neither is set and everything runs on this machine."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="strandlake-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

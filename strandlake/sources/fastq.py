@@ -6,12 +6,14 @@ are read line by line and grouped by line number; files with wrapped sequences g
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_TEXT, _END = re.compile("[^\r\n]"), re.compile("[\r\n]")
 READS = "file string, rec_no bigint, title string, seq string, plus string, quality string"
 
 
@@ -29,14 +31,12 @@ def parse(text: str) -> tuple[list[tuple[str, str, str, str]], bool]:
     out, at, n = [], 0, len(text)
 
     def skip(at: int) -> int:
-        while at < n and text[at] in "\r\n":
-            at += 1
-        return at
+        found = _TEXT.search(text, at)
+        return found.start() if found else n
 
     def line(at: int) -> tuple[str, int]:
-        end = at
-        while end < n and text[end] not in "\r\n":
-            end += 1
+        end = _END.search(text, at)
+        end = end.start() if end else n
         return text[at:end], end
 
     while (at := skip(at)) < n:
@@ -81,7 +81,6 @@ def read_whole(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["file", "rec_no", "title", "seq", "plus", "quality"])
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return files.mapInArrow(run, READS)
 
 
@@ -93,8 +92,10 @@ def from_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of four-line files, split at any line. Line numbers come from counts of each file's splits."""
+    """Reads of four-line files, split at any line; blank lines are passed over. Line numbers come from counts of
+    each file's splits. Malformed records are there too: see ``accepted``."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = rows.where(F.rtrim("value", F.lit("\r")) != "")
     counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("file", "block", before.alias("before"))
@@ -102,6 +103,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return from_lines(rows.withColumn("inside", inside).join(counts, ["file", "block"]).select("file", (F.col("before") + F.col("inside")).alias("line_no"), "value"))
 
 
+def accepted(reads: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """The reads of each file up to its first malformed record, where the scan ends; under FAILFAST that is an error."""
+    bad = reads.where(~valid()).groupBy("file").agg(F.min("rec_no").alias("bad"))
+    if mode == "FAILFAST" and (first := bad.first()):
+        raise ValueError(f"{first.file}: malformed record {first.bad}")
+    return reads.join(bad, "file", "left").where("bad is null or rec_no < bad").drop("bad")
+
+
 def lines(reads: DataFrame) -> DataFrame:
     """(rec_no, value): each read as four lines in one string."""
     return reads.select("rec_no", F.concat_ws("\n", "title", "seq", "plus", "quality").alias("value"))
@@ -113,9 +122,10 @@ def write(reads: DataFrame, path: str) -> None:
 
 
 def numbered(reads: DataFrame) -> DataFrame:
-    """Dense record numbers over all files, in order of file name and place; one row per file is summed."""
+    """Dense record numbers over all files, in order of file name and place; one row per file is summed.
+
+    Numbers within a file are dense already, so no read is sorted."""
     counts = reads.groupBy("file").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("file", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("file").orderBy("rec_no")) - 1
-    return reads.withColumn("inside", inside).join(counts, "file").withColumn("rec_no", (F.col("before") + F.col("inside")).cast("bigint")).drop("before", "inside", "file")
+    return reads.join(counts, "file").withColumn("rec_no", (F.col("before") + F.col("rec_no")).cast("bigint")).drop("before", "file")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from strandlake import fixtures
 from strandlake.__main__ import main
 from strandlake.functions.scalars import bit_length, kept_length, last_kept, run_estimate
-from strandlake.operators import deltas, overlap, profile, runs, sizes, title_coding, titles, transforms
+from strandlake.operators import deltas, overlap, profile, quality_coding, runs, sizes, title_coding, titles, transforms
 from strandlake.operators.huffman import codes, decode, huffman
 from strandlake.plans import registry
-from strandlake.sources import archive, fastq
+from strandlake.sources import archive, coded, fastq
 from strandlake.streaming import superblocks
 
 READS = "rec_no long, title string, seq string, plus string, quality string"
@@ -40,7 +40,7 @@ def test_empty_tables(spark):
         assert df.collect() == []
 
 
-@pytest.mark.parametrize("seq", ["", "N", "NNN", "NACGT", "ACGTN", "AnNa", "ACGT"])
+@pytest.mark.parametrize("seq", ["", "N", "NNN", "NACGT", "ACGTN", "AnNa", "ACGT", "ANNCNGT"])
 def test_n_transfer(spark, seq):
     df = reads(spark, [(seq, "I" * len(seq))])
     out = transforms.n_transfer(df)
@@ -246,18 +246,20 @@ def test_decode_bits():
         decode("01", table)
 
 
-def test_command_line(spark, tmp_path):
-    (tmp_path / "in.fq").write_text("".join(f"@{i} x\nACGT\n+\nII#{'!'}\n" for i in range(50)) + "@bad\nAC\n+\nI\n")
-    main(["e", str(tmp_path / "in.fq"), str(tmp_path / "a")])
-    main(["d", str(tmp_path / "a"), str(tmp_path / "out")])
-    main(["d", "-r", "7", str(tmp_path / "a"), str(tmp_path / "one")])
+def test_command_line(spark, tmp_path, capsys):
+    good = "".join(f"@{i} x\nACGT\n+\nII#{'!'}\n\n" for i in range(50))
+    (tmp_path / "in.fq").write_text(good + "bad\nAC\n+\nII\n" + good)
     read = lambda n: sorted(r.value for r in spark.read.text(str(tmp_path / n)).collect())
-    assert read("out") == sorted((tmp_path / "in.fq").read_text().split("\n")[:200])
-    assert read("one") == sorted(["@7 x", "ACGT", "+", "II#!"])
+    want = sorted(x for x in good.split("\n") if x)
+    for flags in ([], ["--plain"], ["-l", "--wrapped", "-m", "1"]):
+        name = "a" + "".join(flags)
+        main(["e", *flags, str(tmp_path / "in.fq"), str(tmp_path / name)])
+        main(["d", str(tmp_path / name), str(tmp_path / f"out{name}")])
+        main(["d", "-r", "7", str(tmp_path / name), str(tmp_path / f"one{name}")])
+        assert read(f"out{name}") == want and read(f"one{name}") == sorted(["@7 x", "ACGT", "+", "II#!"])
+    assert "MB/s, ratio" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["e", "--mode", "FAILFAST", str(tmp_path / "in.fq"), str(tmp_path / "b")])
-    main(["e", "--wrapped", str(tmp_path / "in.fq"), str(tmp_path / "c")])
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 50
 
 
 def test_overlap_chain_lookup(spark):
@@ -270,3 +272,90 @@ def test_overlap_chain_lookup(spark):
         assert overlap.lookup(stripped, i).first().seq == r.seq
     assert overlap.lookup(stripped, 9).collect() == []
     assert sorted(overlap.restore(stripped).collect()) == sorted(df.select("rec_no", "seq").collect())
+
+
+def test_other_letters_survive(spark):
+    rows = ["ACGNRY", "", "N", "acgt", "TTN.", "ACGT" * 70 + "R", "éA"]
+    df = spark.createDataFrame([(i, s, "I" * len(s)) for i, s in enumerate(rows)] + [(99, None, None)], "rec_no long, seq string, quality string")
+    want = sorted((r.rec_no, r.seq) for r in df.collect())
+    back = transforms.unpack_bases(transforms.pack_bases(df).drop("seq"))
+    assert sorted((r.rec_no, r.seq) for r in back.collect()) == want
+    assert sorted((r.rec_no, r.seq) for r in transforms.color_decode(transforms.color_encode(df)).collect()) == want
+    with pytest.raises(Exception, match="colors already"):
+        transforms.color_encode(df.withColumn("seq", F.lit("A01"))).collect()
+
+
+@pytest.mark.parametrize("method", ["plain", "truncate", "rle"])
+def test_quality_bits(spark, method):
+    rng = random.Random(4)
+    rows = [("A" * n, "".join(rng.choice("IIIF#!~") for _ in range(n))) for n in (1, 5, 33, 90)] * 20 + [("A" * 600, "I" * 600), ("AA", "##"), ("A", "#")]
+    df = reads(spark, rows)
+    methods = spark.range(0, 2).selectExpr("id AS sb_id", f"'{method}' AS method")
+    codes = huffman(quality_coding.models(df, methods, 64))
+    blocks, sizes_ = quality_coding.encode(df, methods, codes, 64), quality_coding.lengths(df, methods, 64)
+    assert sorted(quality_coding.decode(sizes_, blocks, codes).select("rec_no", "quality").collect()) == sorted(df.select("rec_no", "quality").collect())
+    coded_bits = codes.agg(F.sum(F.col("n") * F.col("bits"))).first()[0]
+    assert coded_bits == blocks.agg(F.sum("n_bits")).first()[0]
+    lone = reads(spark, [("A" * 40, "I" * 40)] * 3)
+    codes = huffman(quality_coding.models(lone, methods, 64))
+    back = quality_coding.decode(quality_coding.lengths(lone, methods, 64), quality_coding.encode(lone, methods, codes, 64), codes)
+    assert sorted(back.select("rec_no", "quality").collect()) == sorted(lone.select("rec_no", "quality").collect())
+
+
+def test_coded_archive(spark, tmp_path):
+    rng = random.Random(6)
+    source = "".join(rng.choice("ACGT") for _ in range(500))
+    rows = [(i, f"@r.{i} x:{i % 3}" if i % 9 else "@odd", source[i : i + 60 + i % 40].replace("G", "N" if i % 7 == 0 else "G"), ("+", "+other", f"+r.{i} x:{i % 3}")[i % 3], None) for i in range(100)]
+    rows = [(*r[:4], "".join(rng.choice("IIIIF") for _ in r[2][3:]) + "###") for r in rows]
+    colors = [(i, f"@c.{i}", "T" + "".join(rng.choice("0123.") for _ in range(50)), "+", "!" + "I" * 50) for i in range(128, 150)]
+    df = spark.createDataFrame(rows + colors, READS)
+    for mode in ("depth1", None):
+        path = str(tmp_path / str(mode))
+        coded.write(df, path, 64, mode)
+        assert [tuple(r) for r in coded.read(spark, path).collect()] == sorted(rows + colors)
+    tables = {t: spark.read.parquet(f"{tmp_path}/depth1/{t}") for t in coded.TABLES}
+    assert tables["records"].where("ref_rec_no is not null").count() > 20 and {r.in_colors for r in tables["header"].collect()} == {True, False}
+    assert tables["trailer"].first()["records"] == 122 and tables["index"].count() == 5
+    for n in (0, 33, 99, 130):
+        assert [tuple(r) for r in coded.lookup(spark, str(tmp_path / "depth1"), n).collect()] == [r for r in rows + colors if r[0] == n]
+    assert coded.lookup(spark, str(tmp_path / "depth1"), 700).collect() == []
+    coded.write(df.where("false"), str(tmp_path / "none"), 64)
+    assert coded.read(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_depth_one(spark):
+    rng = random.Random(3)
+    source = "".join(rng.choice("ACGT") for _ in range(400))
+    df = reads(spark, [(s, "I" * len(s)) for s in (source[i : i + 150] for i in range(0, 240, 12))])
+    best = overlap.best_overlaps(df, mode="depth1").collect()
+    matched = {r.rec_no for r in best}
+    assert matched and not matched & {r.ref_rec_no for r in best}
+    every = {(r.rec_no, r.ref_rec_no) for r in overlap.candidates(df).collect()}
+    sources = set()
+    for i in range(20):  # one read after the other
+        if not any((i, j) in every for j in sources):
+            sources.add(i)
+    assert matched == set(range(20)) - sources
+
+
+def test_size_report_adds_up(spark):
+    rng = random.Random(8)
+    df = reads(spark, [("".join(rng.choice("ACGTN") for _ in range(50)), "".join(rng.choice("IF#") for _ in range(50))) for _ in range(100)])
+    got = {r.stream: r.bits for r in sizes.size_report(df, 128).collect()}
+    plain = "".join(r.seq for r in df.collect())
+    assert got["bases"] == 2 * len(plain.replace("N", "")) and got["n"] == 6 * plain.count("N") and "lengths" not in got and "plus" not in got
+    methods = profile.quality_method(df, 128)
+    codes = huffman(quality_coding.models(df, methods, 128))
+    assert got["quality"] == quality_coding.encode(df, methods, codes, 128).agg(F.sum("n_bits")).first()[0]
+    ratio = sizes.compression(df, 128).first()
+    assert ratio.coded_bytes == -(-sum(got.values()) // 8) and ratio.input_bytes == sum(len(r.title) + len(r.seq) * 2 + 5 for r in df.collect())
+
+
+def test_scan_ends_at_the_first_malformed_record(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("\n" + GOOD + "\r\n" + GOOD + "x\nAC\n+\nII\n" + GOOD)
+    (tmp_path / "b.fq").write_text(GOOD * 3)
+    got = fastq.numbered(fastq.accepted(fastq.read_lines(spark, str(tmp_path)))).orderBy("rec_no").collect()
+    assert [r.rec_no for r in got] == list(range(5)) and {r.seq for r in got} == {"ACGT"}
+    assert fastq.read_whole(spark, str(tmp_path)).count() == 5
+    with pytest.raises(ValueError, match="malformed record 2"):
+        fastq.accepted(fastq.read_lines(spark, str(tmp_path)), "FAILFAST")
