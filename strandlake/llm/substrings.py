@@ -12,27 +12,35 @@ Every byte covered by a ``LENGTH``-byte string that starts more than once in the
    ranked first; the other suffixes are then sorted by PERIOD bytes, and longer ties by the rank of the cover
    sample next to both and by the bytes that it leaves. Ties after that are equal strings. Spans are laid out
    with their anchors at multiples of PERIOD, so that equal strings share the distance to their sample.
-3. A bucket of over ``HOT_SPANS`` different spans is not sorted in one task: its windows are counted by a
-   128-bit hash, which the shuffle combines on the map side.
+3. A bucket of over ``HOT_SPANS`` different spans is split before it is sorted, by bytes that its strings hold
+   around the anchor: the starts whose distance to the anchor lies in one half share LENGTH - 69 bytes and more, by
+   which they are filed anew, and so on in quarters until no bucket is larger. A string has one distance to its
+   anchor, so equal strings stay together.
 
-Equality of whole spans and of hot windows is that of two independent 64-bit hashes.
+Equality of whole spans (equal starts, distances and bytes) is that of two independent 64-bit hashes, of the anchor
+and of the span; all that differs within a bucket is told apart by the sort.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, map_batches, stored
+from strandlake.llm.common import cut, map_batches, remove, shared_dir, stored
 
 LENGTH, GRAM, PERIOD = 200, 64, 64
 HOT_SPANS, BLOCK_BYTES, PIECE = 2000, 2 << 20, 1 << 16
+#: A key of more rows than this, and than one in so many of all rows, is salted in joins.
+HOT_ROWS, HOT_KEYS = 2000, 20_000
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POS = 17  # bits that hold a place within a piece
@@ -212,27 +220,57 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.concatenate(c)) for c in zip(*found))], ["t1", "t2", "doc_id", "anchor", "span", "start", "n", "lead"])
 
 
+_PIECES = "anchor long, span long, t1 long, t2 long, start long, n long, lead long, known boolean, hot boolean, piece binary"
+_PIECE_NAMES = ["anchor", "span", "t1", "t2", "start", "n", "lead", "known", "hot", "piece"]
+_PIECE_TYPES = [pa.int64()] * 7 + [pa.bool_(), pa.bool_(), pa.binary()]
+
+
+def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE_TYPES)], _PIECE_NAMES)
+
+
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of wanted spans, each from the one document that stands for it."""
-    names = ["anchor", "t1", "t2", "start", "n", "lead", "known", "piece"]
-    types = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
     for b in batches:
         out = []
         for data, t1, t2, doc_id, wanted in zip(*(b.column(c).to_pylist() for c in ("bytes", "t1", "t2", "doc_id", "wanted"))):
-            out += [(w["anchor"], t1, t2, w["start"], w["n"], w["lead"], w["known"], data[w["start"] : w["start"] + w["n"] - 1 + LENGTH]) for w in wanted if w["doc_id"] == doc_id]
+            out += [(w["anchor"], w["span"], t1, t2, w["start"], w["n"], w["lead"], w["known"], w["hot"], data[w["start"] : w["start"] + w["n"] - 1 + LENGTH]) for w in wanted if w["doc_id"] == doc_id]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            yield _piece_rows(out)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both hashes of every window of the wanted spans."""
-    for b in _cuts(batches):
-        out = []
-        for t1, t2, start, n, data in zip(*(b.column(c).to_pylist() for c in ("t1", "t2", "start", "n", "piece"))):
-            x = np.frombuffer(data, np.uint8)
-            a, c = (Hashes(x, base).grams(LENGTH).view(np.int64) for base in BASES)
-            out.append((a, c, np.full(n, t1), np.full(n, t2), np.arange(start, start + n)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["w1", "w2", "t1", "t2", "start"])
+def _signed(*parts: bytes | int) -> int:
+    """XXH64 of bytes and numbers, as a signed long."""
+    h = xxhash.xxh64(seed=len(parts))
+    for p in parts:
+        h.update(p if isinstance(p, bytes) else struct.pack("<q", p))
+    return struct.unpack("<q", struct.pack("<Q", h.intdigest()))[0]
+
+
+def split_span(anchor: int, start: int, n: int, lead: int, piece: bytes, width: int) -> list[tuple[int, int, int, int, int, bytes]]:
+    """(anchor, span, start, n, lead, piece) of a span's parts: by distance to the anchor in ranges of ``width``,
+    each filed under the bytes that all strings of its range hold."""
+    out = []
+    for low in range((lead - n + 1) // width * width, lead + 1, width):
+        high = min(low + width - 1, LENGTH - GRAM)
+        far, near = min(high, lead), max(low, lead - n + 1)
+        i, m = lead - far, far - near + 1
+        part = piece[i : i + m - 1 + LENGTH]
+        shared = piece[lead - low : lead + LENGTH - high]
+        out.append((_signed(anchor, low, shared), _signed(part, m, far), start + i, m, far, part))
+    return out
+
+
+def _split(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for anchor, _, t1, t2, start, n, lead, known, hot, piece in zip(*(b.column(c).to_pylist() for c in _PIECE_NAMES)):
+                out += [(a, s, t1, t2, begin, m, far, known, hot, part) for a, s, begin, m, far, part in split_span(anchor, start, n, lead, piece, width)]
+            if out:
+                yield _piece_rows(out)
+
+    return run
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,42 +307,66 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"bytes": text.cast("binary"), "t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(7), text)})
 
 
-def _joined(keyed: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Texts with what is listed for them; copies share their text's key, and AQE splits keys with many copies."""
-    return keyed.join(lists, ["t1", "t2"], how)
+def _matched(rows: DataFrame, keyed: DataFrame, keys: list[str], salt: Column) -> DataFrame:
+    """Join rows with ``keyed``, where ``c`` is the number of rows of each key. Keys with many rows, ``HOT_KEYS`` at
+    most, are told to all tasks, and their rows are dealt over as many buckets as they fill."""
+    total = keyed.agg(F.sum("c")).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    ways = F.when(F.col("c") > most, F.ceil(F.col("c") / most).cast("int")).otherwise(1)
+    hot = F.broadcast(keyed.where(F.col("c") > most).select(*keys, ways.alias("ways")))
+    dealt = rows.join(hot, keys, "left").withColumn("salt", F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(salt, F.col("ways"))).cast("int")).drop("ways")
+    spread = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    return dealt.join(spread.drop("c"), [*keys, "salt"]).drop("salt")
 
 
 def repeats(docs: DataFrame, hot_spans: int = HOT_SPANS) -> DataFrame:
-    """(t1, t2, cuts) for each text with repeats: its key, and the runs (start, n) of starts of repeated strings."""
+    """(t1, t2, cuts) for each text with repeats: its key, and the runs (start, n) of starts of repeated strings.
+
+    The result is a table in the shared folder; what it was made from is deleted."""
+    spark = docs.sparkSession
+    work = f"{shared_dir(spark)}/substrings-{uuid.uuid4().hex}"
+    keep = lambda df: stored(df, work)
     keyed = _keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "bytes", "t1", "t2")
     met = map_batches(keyed.select("bytes"), _anchors, "anchor long, span long").groupBy("anchor")
     met = met.agg(F.count("*").alias("c"), F.min("span").alias("low"), F.max("span").alias("high")).where("c > 1")
-    met = cut(met.select("anchor", (F.col("low") != F.col("high")).alias("differ")))  # cut: a join of two plain shuffles can split hot anchors
+    met = keep(met.select("anchor", "c", (F.col("low") != F.col("high")).alias("differ")))
     schema = f"{_OWN}, anchor long, span long, start long, n long, lead long"
-    found = stored(map_batches(keyed, _occurrences, schema).join(met, "anchor"))
+    place = lambda: F.xxhash64("t1", "doc_id", "start")
+    found = keep(_matched(map_batches(keyed, _occurrences, schema), met, ["anchor"], place()))
     whole = found.where(~F.col("differ")).select("t1", "t2", "start", "n")
 
     differ = found.where("differ")
-    kinds = stored(differ.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "doc_id", "start", "n", "lead")).alias("one")))
-    again = differ.join(kinds.where("c > 1").select("anchor", "span"), ["anchor", "span"]).select("t1", "t2", "start", "n")
+    kinds = keep(differ.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "doc_id", "start", "n", "lead")).alias("one")))
+    again = _matched(differ, kinds.where("c > 1").select("anchor", "span", "c"), ["anchor", "span"], place()).select("t1", "t2", "start", "n")
     buckets = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("least = 1"))
     wanted = kinds.join(buckets.select("anchor", (F.col("kinds") > hot_spans).alias("hot")), "anchor")
-    wanted = stored(wanted.select("hot", "anchor", "one.*", (F.col("c") > 1).alias("known")))
-
-    def lists(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "doc_id", "start", "n", "lead", "known")).alias("wanted"))
-
-    pieces = map_batches(_joined(keyed, lists(wanted.where("not hot")), "inner"), _cuts, "anchor long, t1 long, t2 long, start long, n long, lead long, known boolean, piece binary")
-    pieces = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    parts = [whole, again, map_batches(pieces, _sorted_blocks, "t1 long, t2 long, start long, n long", 4096)]
-    if not wanted.where("hot").isEmpty():
-        windows = stored(map_batches(_joined(keyed, lists(wanted.where("hot")), "inner"), _windows, "w1 long, w2 long, t1 long, t2 long, start long"))
-        twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-        parts.append(windows.join(twice, ["w1", "w2"]).select("t1", "t2", "start", F.lit(1).cast("long").alias("n")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    return every.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    wanted = wanted.select("anchor", "span", "one.*", (F.col("c") > 1).alias("known"), "hot")
+    lists = keep(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "span", "doc_id", "start", "n", "lead", "known", "hot")).alias("wanted")))
+    pieces = keep(map_batches(keyed.join(lists, ["t1", "t2"]), _cuts, _PIECES))
+
+    parts, ready, width = [whole, again], [pieces.where("not hot")], LENGTH - GRAM + 1
+    hot = pieces.where("hot")
+    while not hot.isEmpty():
+        width = -(-width // 2)
+        each = keep(map_batches(hot, _split(width), _PIECES))
+        sizes = keep(each.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").withColumn("large", F.col("c") > hot_spans))
+        each = keep(_matched(each.drop("hot"), sizes, ["anchor"], F.xxhash64("t1", "start")))
+        ready.append(each.where("not large").withColumn("hot", F.lit(False)).select(*_PIECE_NAMES))
+        large = each.where("large")
+        one = F.min(F.struct("t1", "t2", "start", "n", "lead", "known", "piece")).alias("one")
+        kinds = keep(large.groupBy("anchor", "span").agg(F.count("*").alias("c"), one))
+        parts.append(_matched(large, kinds.where("c > 1").select("anchor", "span", "c"), ["anchor", "span"], F.xxhash64("t1", "start")).select("t1", "t2", "start", "n"))
+        buckets = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("least = 1"))
+        left = kinds.join(buckets.select("anchor", (F.col("kinds") > hot_spans).alias("hot")), "anchor")
+        left = keep(left.select("anchor", "span", "one.t1", "one.t2", "one.start", "one.n", "one.lead", (F.col("one.known") | (F.col("c") > 1)).alias("known"), "hot", "one.piece"))
+        ready.append(left.where("not hot"))
+        hot = left.where("hot")
+    blocks = reduce(DataFrame.union, ready).repartition("anchor").sortWithinPartitions("anchor")
+    parts.append(map_batches(blocks, _sorted_blocks, "t1 long, t2 long, start long, n long", 4096))
+    cuts = reduce(DataFrame.union, parts).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    cuts = stored(cuts)
+    remove(spark, work)
+    return cuts
 
 
 def kept(data: bytes, cuts: list[dict] | None) -> tuple[bytes, int, int]:
@@ -333,7 +395,7 @@ def report(docs: DataFrame, hot_spans: int = HOT_SPANS) -> DataFrame:
     other's strings; null doc_ids stay null; an empty table gives an empty one; other columns take no part.
     """
     keyed = _keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "bytes", "t1", "t2")
-    rows = _joined(keyed, repeats(docs, hot_spans), "left").select("doc_id", "bytes", "cuts")
+    rows = keyed.join(repeats(docs, hot_spans), ["t1", "t2"], "left").select("doc_id", "bytes", "cuts")
     return map_batches(rows, _report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -347,12 +409,13 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame, hot_spans: int = HOT_SPANS) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut out of ``text``, and n_chars, if there, counted anew.
 
-    Characters of which a cut leaves only a part go wholly. A null text stays null.
+    Characters of which a cut leaves only a part go wholly. A null text stays null. All other columns come back as
+    they are, whatever their names; repeated rows lose what they share; an empty table gives an empty one.
     """
     names = docs.columns
     row = F.struct(*[docs[c] for c in names if c != "text"])
     keyed = _keyed(docs.select(row.alias("row"), F.col("text"))).select("row", F.col("text").isNull().alias("none"), "bytes", "t1", "t2")
-    rows = _joined(keyed, repeats(docs, hot_spans), "left").select("row", "none", "bytes", "cuts")
+    rows = keyed.join(repeats(docs, hot_spans), ["t1", "t2"], "left").select("row", "none", "bytes", "cuts")
     kind = rows.schema["row"].dataType.simpleString()
     out = map_batches(rows, _rewrite, f"row {kind}, none boolean, new_text string")
     text = F.when(~F.col("none"), F.col("new_text"))

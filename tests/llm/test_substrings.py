@@ -99,3 +99,27 @@ def test_edges(spark):
     assert out.columns == df.columns
     got = sorted(map(tuple, out.collect()), key=str)
     assert got == sorted([(None, None, "l", None), (1, "", "l", 0), (1, "", "l", 0), (2, "xy", "l", 2), (3, "keep", "l", 4)], key=str)
+
+
+def test_split_spans_keep_every_start_and_bring_equal_strings_together():
+    rng = np.random.default_rng(9)
+    for width in (69, 35, 18, 9, 5, 3, 2, 1):
+        base = rng.integers(97, 100, 400, dtype=np.uint8).tobytes()
+        spans = []
+        for lead, n in ((136, 137), (100, 60), (40, 41), (7, 3), (0, 1)):
+            spans.append((1, 1000, n, lead, base[136 - lead : 136 - lead + n - 1 + 200]))
+        seen = {}
+        for anchor, start, n, lead, piece in spans:
+            parts = substrings.split_span(anchor, start, n, lead, piece, width)
+            assert sorted(s + i for _, _, s, m, _, _ in parts for i in range(m)) == list(range(start, start + n))
+            for a, _, s, m, far, part in parts:
+                assert len(part) == m - 1 + 200
+                for i in range(m):
+                    seen.setdefault((far - i, part[i : i + 200]), set()).add(a)
+        assert all(len(v) == 1 for v in seen.values())
+
+
+def test_clashing_columns_stay(spark):
+    names = ["bytes", "t1", "t2", "row", "none", "cuts", "anchor", "salt", "new_text"]
+    df = spark.createDataFrame([(1, "x" * 300, *names), (2, "some text", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert sorted(map(tuple, substrings.deduplicated(df).collect())) == [(1, "", *names), (2, "some text", *names)]
