@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import langid, mixing, pieces, simhash, substrings
-from strandlake.llm.common import shared_dir, table
+from strandlake.llm.common import remove, shared_dir, table
 
 #: A document stays if its text has letters and the predicted language at least this score.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -56,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to ``documents``; each result is written to the shared folder and read again. A stage's
+    input is deleted once its result is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
