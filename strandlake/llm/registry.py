@@ -65,6 +65,7 @@ _BASE32 = """array_to_string(list_transform(range(0, 32), lambda k: substring('A
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_suffix_dedup": substrings.SQL,
         "op8_source_mixing": mixing.SQL,
         "op9_warc": f"""SELECT page_id, cast(strlen(p) AS bigint) AS payload_bytes, {_BASE32} AS payload_digest,
             CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to

@@ -177,6 +177,7 @@ def suffix_ranks(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, per
     order = _Order(len(starts))
     for at in range(0, period, 8):
         order.refine(lambda t, at=at: words[starts[t] + at])
+    order.refine(lambda t: starts[t] % period)  # ranks say nothing of starts that lie at other distances to their samples
     order.refine(lambda t: rank_at[starts[t] + ahead[starts[t] % period]])
     for at in range(length - period, length - 7, 8):
         order.refine(lambda t, at=at: words[starts[t] + at])
@@ -421,3 +422,33 @@ def deduplicated(docs: DataFrame, hot_spans: int = HOT_SPANS) -> DataFrame:
     text = F.when(~F.col("none"), F.col("new_text"))
     made = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
     return out.select(*[made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in names])
+
+
+#: The rows of ``report``, for DuckDB: bytes are pairs of hex digits, strings are compared as they are.
+SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
+starts AS (
+  SELECT row_no, unnest(range(0, length(bytes) // 2 - 199)) AS start, bytes FROM texts WHERE length(bytes) >= 400),
+grams AS (
+  SELECT row_no, start, substring(bytes, 2 * start + 1, 400) AS gram FROM starts),
+again AS (
+  SELECT g.row_no, g.start FROM grams g SEMI JOIN (SELECT gram FROM grams GROUP BY gram HAVING count(*) > 1) USING (gram)),
+stepped AS (
+  SELECT row_no, start, lag(start) OVER (PARTITION BY row_no ORDER BY start) AS before FROM again),
+numbered AS (
+  SELECT row_no, start, sum(CASE WHEN before IS NULL OR start > before + 200 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY row_no ORDER BY start) AS run FROM stepped),
+runs AS (
+  SELECT row_no, run, min(start) AS low, max(start) + 200 AS high FROM numbered GROUP BY ALL),
+gaps AS (
+  SELECT row_no, low, high, lag(high, 1, 0) OVER (PARTITION BY row_no ORDER BY low) AS kept_from FROM runs),
+cuts AS (
+  SELECT g.row_no, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last_high,
+    string_agg(substring(t.bytes, 2 * kept_from + 1, 2 * (low - kept_from)), '' ORDER BY low) AS kept
+  FROM gaps g JOIN texts t USING (row_no) GROUP BY g.row_no)
+SELECT doc_id, CAST(length(bytes) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN c.row_no IS NULL THEN bytes ELSE kept || substring(bytes, 2 * last_high + 1) END)) AS kept_sha256
+FROM texts t LEFT JOIN cuts c USING (row_no)
+"""

@@ -123,3 +123,14 @@ def test_clashing_columns_stay(spark):
     names = ["bytes", "t1", "t2", "row", "none", "cuts", "anchor", "salt", "new_text"]
     df = spark.createDataFrame([(1, "x" * 300, *names), (2, "some text", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
     assert sorted(map(tuple, substrings.deduplicated(df).collect())) == [(1, "", *names), (2, "some text", *names)]
+
+
+def test_periodic_texts(spark):
+    """Strings whose ends agree while the change from one period to the next lies elsewhere are not equal."""
+    words = ["Des. ", "Sur, ", "le\u00e9 ", "of ", "ing ", "heti ", "\u00e7 "]
+    rng = np.random.default_rng(3)
+    texts = ["".join(w * int(rng.integers(20, 60)) for w in rng.permutation(words)) for _ in range(40)]
+    texts += ["Des. " * 40 + "Sur, " * 40, "Nd, " * 34 + "ing " * 34]
+    rows = list(enumerate(texts))
+    got = sorted(map(tuple, substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
