@@ -27,7 +27,7 @@ from strandlake.llm.common import map_batches
 
 MARK = "▁"
 #: Bytes of a worker's table, what an entry takes besides its strings, and words that are looked up at a time.
-TABLE_BYTES, ENTRY_BYTES, SEGMENT = 320 << 20, 350, 1 << 16
+TABLE_BYTES, ENTRY_BYTES, SEGMENT = 96 << 20, 350, 1 << 16
 #: Characters that a normaliser other than the identity would change.
 PROBE = " a  ﬁÉéＡ　\t\r\n\x0b ​½ \U0001f600 "
 
