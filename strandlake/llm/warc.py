@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, map_batches, shared_dir
+from strandlake.llm.common import map_batches, remove, shared_dir, stored
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL, MIN_REVISIT = 1 << 18, 4 << 20, 3, 0
 #: Fixed values of the Zstandard seekable format and of WARC/1.1.
@@ -178,11 +178,13 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, frame_byt
     key = F.sha1(F.encode("html", "UTF-8"))
     pages = pages.withColumn("key", F.when(F.octet_length("html") >= min_revisit, key))
     groups = pages.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = cut(groups)  # cut: a join of plain tables can split a payload that most pages share
+    # stored: its size is known, so the payloads are shuffled only where groups are many; a join of plain tables can split a payload that most pages share
+    groups = stored(groups, f"{path}/groups")
     marked = pages.join(groups, "key", "left").select("page_id", "url", "html", "keep", (F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))).alias("revisit"))
     bundles = map_batches(marked, _pack(frame_bytes, bundle_bytes, level), BUNDLES)
     packed = bundles.write.option("compression", "uncompressed").option("parquet.block.size", 2 * bundle_bytes)  # frames are packed already
     packed.mode("overwrite").parquet(f"{path}/bundles")
+    remove(pages.sparkSession, f"{path}/groups")
     index = pages.sparkSession.read.schema(BUNDLES).parquet(f"{path}/bundles").select("bundle", F.explode("index").alias("i"))
     index = index.select("i.record_id", "bundle", "i.frame", "i.offset", "i.length").repartitionByRange("record_id").sortWithinPartitions("record_id")
     index.write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(f"{path}/index")

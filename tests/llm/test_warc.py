@@ -71,3 +71,22 @@ def test_lookup_prunes_and_hot_payload(spark, tmp_path):
     assert [warc.parse(d)[0]["WARC-Type"] for k in (1, 399, 2) for d in warc.fetch(archive, k)] == ["revisit", "response", "response"]
     for frame, name, value in ((archive.index, "record_id", "x"), (archive.bundles, "bundle", "y")):
         assert f"EqualTo({name},{value})" in frame.where(f"{name} = '{value}'")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_bundles_follow_the_pages_unless_groups_are_many(spark, tmp_path, threshold):
+    """Few groups: as many files as the pages have parts, however many partitions a shuffle has."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": threshold}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = [(i, "u", "error page" if i % 5 == 0 else f"page {i}") for i in range(400)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), str(tmp_path / "a"))
+        assert sorted(map(tuple, warc.read(archive).collect()), key=str) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = len(list((tmp_path / "a" / "bundles").glob("part-*")))
+    assert files <= 2 if threshold != "-1" else files > 2
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["bundles", "index"]
