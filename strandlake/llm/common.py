@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -65,10 +66,33 @@ def sliced(batch: pa.RecordBatch, rows: int, most: int = BATCH_BYTES) -> Iterato
         at, step = at + part.num_rows, rows
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` with small batches of whole texts, cut inside the worker: the session's settings stay."""
+#: What a worker process keeps from task to task, by the operator that it serves.
+_CACHES: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """This worker process's own store for an operator; it is emptied once the process serves another operator."""
+    return _CACHES.setdefault(owner, {})
+
+
+def make_room(owner: str) -> None:
+    """Empty the stores of all other operators, and give what is free in this process back to the system."""
+    for name, own in _CACHES.items():
+        if name != owner:
+            own.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS, owner: str = "") -> DataFrame:
+    """``mapInArrow`` with small batches of whole texts, cut inside the worker: the session's settings stay.
+
+    Of what worker processes keep between tasks, only the store of ``owner`` is there when ``fn`` begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
         return fn(part for b in batches for part in sliced(b, rows))
 
     return df.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import map_batches
+from strandlake.llm.common import cache, map_batches
 
 MARK = "▁"
 #: Bytes of a worker's table, what an entry takes besides its strings, and words that are looked up at a time.
@@ -96,16 +96,17 @@ class Encoder:
         return list(map(int, said.split(" "))), said
 
 
-_ENCODERS: dict[bytes, Encoder] = {}
+OWNER = "pieces"
 
 
 def encoder_of(proto: bytes) -> Encoder:
-    """The worker process's own encoder of a model; one model at a time keeps its table."""
-    name = hashlib.sha1(proto).digest()
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(proto)
-    return _ENCODERS[name]
+    """The worker process's own encoder of a model; one model at a time keeps its table, until the process serves
+    another operator."""
+    name, encoders = hashlib.sha1(proto).digest(), cache(OWNER)
+    if name not in encoders:
+        encoders.clear()
+        encoders[name] = Encoder(proto)
+    return encoders[name]
 
 
 def _encode(proto, keep_ids: bool):
@@ -138,7 +139,7 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
     """
     proto = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _encode(proto, keep_ids), schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _encode(proto, keep_ids), schema, owner=OWNER)
 
 
 def _decode(proto):
@@ -154,4 +155,4 @@ def _decode(proto):
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of rows with doc_id and ids; null ids give a null text."""
     proto = encoded.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
-    return map_batches(encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")), _decode(proto), "doc_id long, text string")
+    return map_batches(encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")), _decode(proto), "doc_id long, text string", owner=OWNER)

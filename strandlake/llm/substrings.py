@@ -159,10 +159,10 @@ def suffix_ranks(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, per
 
     Equal strings must start at equal residues modulo ``period``, and length be twice the period or more.
     """
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    words = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : k + len(text)]
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    # the eight bytes from each place on, read where they lie: numbers of their own for all places take eight times the text
+    at_each = np.ndarray(len(text), ">u8", padded, strides=(1,))
+    words = lambda i: at_each[i].astype(np.uint64)
     cover = np.zeros(period, bool)
     cover[list(difference_cover(period))] = True
     # distance from each residue to the next sample
@@ -171,16 +171,14 @@ def suffix_ranks(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, per
     reach = length - period
     samples = _Order(len(sample))
     for at in [*range(0, reach - 7, 8), reach - 8]:
-        samples.refine(lambda t, at=at: words[sample[t] + at])
-    rank_at = np.zeros(len(text) + 1, np.int64)
-    rank_at[sample] = samples.rank
+        samples.refine(lambda t, at=at: words(sample[t] + at))
     order = _Order(len(starts))
     for at in range(0, period, 8):
-        order.refine(lambda t, at=at: words[starts[t] + at])
+        order.refine(lambda t, at=at: words(starts[t] + at))
     order.refine(lambda t: starts[t] % period)  # ranks say nothing of starts that lie at other distances to their samples
-    order.refine(lambda t: rank_at[starts[t] + ahead[starts[t] % period]])
+    order.refine(lambda t: samples.rank[np.searchsorted(sample, starts[t] + ahead[starts[t] % period])])
     for at in range(length - period, length - 7, 8):
-        order.refine(lambda t, at=at: words[starts[t] + at])
+        order.refine(lambda t, at=at: words(starts[t] + at))
     return order
 
 

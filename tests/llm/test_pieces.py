@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 from strandlake.llm import pieces
+from strandlake.llm.common import map_batches
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["", " ", "   ", "a", " a", "a ", "a  b", "▁a ▁▁b", "Zwei Wörter.\nNeue\t\tZeile ", "\n \n", "\r\n\x00x", "日本語 テキスト \U0001f600", "<s> </s> <unk> <0x0A>", "é é ﬁ　x", "word " * 3000, "x" * 5000, "1 2  3   4    5     " * 9]
@@ -51,6 +53,20 @@ def test_documents(spark, library):
     assert back.count() == docs.count()
 
 
+def test_a_worker_that_serves_another_operator_lets_go_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(8)
+    pieces.encode(docs, MODEL).collect()
+
+    def alive(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(o) is pieces.Encoder for o in gc.get_objects())], pa.int64())], ["n"])
+
+    got = map_batches(spark.range(800, numPartitions=8), alive, "n long").collect()
+    assert len(got) >= 8 and {r.n for r in got} == {0}
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, ids string, n_tokens int"
     assert pieces.encode(spark.createDataFrame([], schema), MODEL).collect() == []

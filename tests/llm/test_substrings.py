@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -134,3 +135,18 @@ def test_periodic_texts(spark):
     rows = list(enumerate(texts))
     got = sorted(map(tuple, substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_ranks_take_little_besides_the_text():
+    """No number for each byte of a block: only starts and samples have some."""
+    text = np.random.default_rng(5).integers(97, 123, 1 << 20, dtype=np.uint8)
+    text[1 << 19 : (1 << 19) + 300] = text[:300]
+    starts = np.array([0, 10, 64, 1000, 1 << 19, (1 << 19) + 64, (1 << 20) - 200])
+    tracemalloc.start()
+    try:
+        order = substrings.suffix_ranks(text, starts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(order.tied.tolist()) == [0, 2, 4, 5] and order.rank[0] == order.rank[4] and order.rank[2] == order.rank[5]
+    assert peak < 4 * len(text)
