@@ -139,8 +139,7 @@ def superblock_header(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
     )
     constant = F.col("constant_start_base") & F.col("constant_start_quality")
     facts = facts.withColumns({"overlaps": F.col("max_len") > 36, "method": chosen_method(), "in_colors": F.col("color") & F.col("only_colors") & constant, "base_mode": F.greatest(bit_length(F.col("n_bases") - 1), F.lit(2))})
-    longest = runs.quality_runs(reads).groupBy(block_id(F.col("block_id"), size // BLOCK).alias("sb_id")).agg(F.max("run_len").alias("longest"))
-    facts = facts.join(longest, "sb_id", "left").withColumn("max_run", F.when(F.col("method") == "rle", F.col("longest")))
+    facts = facts.join(runs.longest_runs(reads, size // BLOCK), "sb_id", "left").withColumn("max_run", F.when(F.col("method") == "rle", F.col("longest")))
     return running_max(facts).drop("sampled", "raw", "trunc", "runs", "longest", "only_colors")
 
 

@@ -31,10 +31,8 @@ def models(reads: DataFrame, methods: DataFrame, size: int = SUPERBLOCK) -> Data
         hist = profile.quality_histogram(rows.where(F.col("method") == method), size, truncate=method == "truncate").where("pos > 0")
         return hist.select(F.lit("quality_plain").alias("model"), "sb_id", F.col("pos").cast("string").alias("context"), "symbol", "n")
 
-    coded = runs.quality_runs(rows.where("method = 'rle'"))
-    symbols = runs.run_bigrams(coded, per).select(F.lit("run_symbol").alias("model"), "sb_id", "context", "symbol", "n")
-    lengths = runs.run_histogram(coded, per).select(F.lit("run_length").alias("model"), "sb_id", F.col("symbol").alias("context"), F.lpad(F.col("run_len").cast("string"), 3, "0").alias("symbol"), "n")
-    return reduce(DataFrame.union, [plain("plain"), plain("truncate"), symbols, lengths])
+    coded = runs.run_models(rows.where("method = 'rle'"), per)
+    return reduce(DataFrame.union, [plain("plain"), plain("truncate"), coded])
 
 
 class Book:
