@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.batches import by_pieces, flat
 from strandlake.functions.scalars import BASES
 
 
@@ -51,17 +52,13 @@ for _k, _c in enumerate(BASES):
 
 
 class _Texts:
-    """A column of an Arrow batch as one run of bytes; all rows are worked on at once."""
+    """A column of an Arrow batch, or of a piece of one, as one run of bytes; all rows are worked on at once."""
 
     def __init__(self, column: pa.Array):
         self.valid = column.is_valid()
-        flat = column.cast(pa.large_binary()).fill_null(b"")
-        self.at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-        data = flat.buffers()[2]
-        self.data = np.frombuffer(data, np.uint8)[self.at[0] : self.at[-1]] if data and len(flat) else np.zeros(0, np.uint8)
-        self.at = self.at - self.at[0]
+        self.data, self.at = flat(column)
         self.size = np.diff(self.at)
-        self.row = np.repeat(np.arange(len(flat)), self.size)
+        self.row = np.repeat(np.arange(len(column)), self.size)
 
     def made(self, data: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
         """Rows of new sizes; null where the column was."""
@@ -90,7 +87,7 @@ def color_encode(reads: DataFrame, start: str | Column = "T", start_quality: str
         return t.made(out, t.size + 1, pa.string())
 
     start, start_quality = (F.lit(c) if isinstance(c, str) else c for c in (start, start_quality))
-    return reads.withColumns({"seq": F.arrow_udf(colors, "string")("seq", start), "quality": F.concat(start_quality, "quality")})
+    return reads.withColumns({"seq": F.arrow_udf(by_pieces(colors), "string")("seq", start), "quality": F.concat(start_quality, "quality")})
 
 
 def color_decode(reads: DataFrame) -> DataFrame:
@@ -106,7 +103,7 @@ def color_decode(reads: DataFrame) -> DataFrame:
         out = np.where(color, _LETTERS[total ^ earlier[t.row]], t.data)
         return t.made(out[~head], np.maximum(t.size - 1, 0), pa.string())
 
-    return reads.withColumns({"seq": F.arrow_udf(bases, "string")("seq"), "quality": F.expr("substring(quality, 2)")})
+    return reads.withColumns({"seq": F.arrow_udf(by_pieces(bases), "string")("seq"), "quality": F.expr("substring(quality, 2)")})
 
 
 _OTHERS = "array<struct<pos: int, byte: int>>"
@@ -130,7 +127,7 @@ def pack_bases(reads: DataFrame) -> DataFrame:
         each = pa.StructArray.from_arrays([pa.array(place[odd].astype(np.int32)), pa.array(t.data[odd].astype(np.int32))], ["pos", "byte"])
         return pa.StructArray.from_arrays([packed, pa.ListArray.from_arrays(pa.array(ends), each)], ["packed", "others"])
 
-    made = F.arrow_udf(pack, f"struct<packed: binary, others: {_OTHERS}>")("seq")
+    made = F.arrow_udf(by_pieces(pack), f"struct<packed: binary, others: {_OTHERS}>")("seq")
     return reads.withColumns({"made": made, "n_bases": F.octet_length("seq")}).withColumns({"packed": F.col("made.packed"), "others": F.col("made.others")}).drop("made")
 
 
@@ -148,4 +145,4 @@ def unpack_bases(packed: DataFrame) -> DataFrame:
         out[begin[row] + each.field("pos").to_numpy(zero_copy_only=False)] = each.field("byte").to_numpy(zero_copy_only=False)
         return t.made(out, sizes, pa.string())
 
-    return packed.withColumn("seq", F.arrow_udf(unpack, "string")("packed", "n_bases", "others"))
+    return packed.withColumn("seq", F.arrow_udf(by_pieces(unpack), "string")("packed", "n_bases", "others"))
