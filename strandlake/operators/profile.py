@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import runs
+from strandlake.functions.batches import PIECE, flat, whole_groups
 from strandlake.functions.scalars import BLOCK, SUPERBLOCK, bit_length, block_id, kept_length, last_kept, run_estimate, symbols
 
 
@@ -56,31 +57,45 @@ def running_max(per_superblock: DataFrame, group: int = 4096) -> DataFrame:
     return rows.withColumn("inside", inside).join(heads, "g").withColumn("running_max_len", F.greatest("inside", "before")).drop("g", "inside", "before")
 
 
+def _histogram(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, byte and count of all texts of a superblock, position 0 for all positions together."""
+    data, at = flat(column)
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    code = np.zeros(256, np.int64)
+    code[used] = np.arange(len(used))
+    n = np.zeros(int(np.diff(at).max(initial=0)) * len(used), np.int64)
+    begin = 0
+    while begin < len(at) - 1:
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + PIECE, "right")) - 1)
+        piece = data[at[begin] : at[end]]
+        place = np.arange(at[begin], at[end]) - np.repeat(at[begin:end], np.diff(at[begin : end + 1]))
+        part = np.bincount(place * len(used) + code[piece])
+        n[: len(part)] += part
+        begin = end
+    found, total = np.flatnonzero(n), n.reshape(-1, max(len(used), 1)).sum(0)
+    return np.append(found // max(len(used), 1) + 1, np.zeros(len(used), np.int64)), np.append(used[found % max(len(used), 1)], used), np.append(n[found], total)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sb_id, pos, symbol, n) of each batch, from all its bytes at once."""
-    for b in batches:
-        flat = b.column("quality").cast(pa.large_binary()).fill_null(b"")
-        at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-        data = np.frombuffer(flat.buffers()[2], np.uint8)[at[0] : at[-1]] if len(flat) and flat.buffers()[2] else np.zeros(0, np.uint8)
-        size = np.diff(at)
-        names, sb = np.unique(b.column("sb_id").to_numpy(), return_inverse=True)
-        place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], size)
-        width = int(size.max(initial=0))
-        key, n = np.unique((np.repeat(sb, size) * width + place) * 256 + data, return_counts=True)
-        symbol = pa.array(np.array([chr(i) for i in range(256)])[key & 255], pa.string())
-        columns = [pa.array(names[(key >> 8) // max(width, 1)]), pa.array(((key >> 8) % max(width, 1) + 1).astype(np.int32)), symbol, pa.array(n.astype(np.int64))]
+    """(sb_id, pos, symbol, n) of rows sorted by superblock."""
+    names = pa.array([chr(i) for i in range(256)])
+    for b in whole_groups(batches, "sb_id"):
+        sbs, first = np.unique(b.column("sb_id").to_numpy(), return_index=True)
+        parts = [_histogram(b.column("quality").slice(i, j - i)) for i, j in zip(first, [*first[1:], b.num_rows])]
+        pos, byte, n = (np.concatenate(c) for c in zip(*parts))
+        symbol = pa.DictionaryArray.from_arrays(pa.array(byte.astype(np.int16)), names).cast(pa.string())
+        columns = [pa.array(np.repeat(sbs, [len(c[0]) for c in parts])), pa.array(pos.astype(np.int32)), symbol, pa.array(n)]
         yield pa.RecordBatch.from_arrays(columns, ["sb_id", "pos", "symbol", "n"])
 
 
 def quality_histogram(reads: DataFrame, size: int = SUPERBLOCK, truncate: bool = False) -> DataFrame:
     """(sb_id, pos, symbol, n) with the total of all positions at pos 0; ``truncate`` leaves trailing # out.
 
-    Symbols are bytes. A kernel counts each batch, so that a row per position and symbol is shuffled, not one per
-    symbol of the corpus."""
+    Symbols are bytes. Texts of a superblock meet in a kernel, which counts them piece by piece: what is shuffled is the
+    text, and no table of counts is kept for more than a superblock."""
     text = F.substring("quality", F.lit(1), kept_length(F.col("quality"))) if truncate else F.col("quality")
-    each = superblocks(reads, size).select("sb_id", text.alias("quality")).mapInArrow(_counts, "sb_id bigint, pos int, symbol string, n bigint")
-    at = each.groupBy("sb_id", "pos", "symbol").agg(F.sum("n").alias("n"))
-    return at.union(at.groupBy("sb_id", F.lit(0).alias("pos"), "symbol").agg(F.sum("n").alias("n")))
+    rows = superblocks(reads, size).select("sb_id", text.alias("quality")).repartition("sb_id").sortWithinPartitions("sb_id")
+    return rows.mapInArrow(_counts, "sb_id bigint, pos int, symbol string, n bigint")
 
 
 def quality_sums(reads: DataFrame, size: int = SUPERBLOCK, block: int = BLOCK) -> DataFrame:

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.scalars import BLOCK, RUN_CAP, SUPERBLOCK, block_id
+from strandlake.functions.scalars import BLOCK, RUN_CAP, SUPERBLOCK, block_id, kept_length
 from strandlake.operators import profile, runs
 
 BLOCKS = pa.schema([("sb_id", pa.int64()), ("block_id", pa.int64()), ("data", pa.binary()), ("n_bits", pa.int64())])
@@ -27,12 +26,11 @@ def models(reads: DataFrame, methods: DataFrame, size: int = SUPERBLOCK) -> Data
     rows = profile.superblocks(reads, size).join(methods.select("sb_id", "method"), "sb_id").select("rec_no", "quality", "method")
     per = size // BLOCK
 
-    def plain(method: str) -> DataFrame:
-        hist = profile.quality_histogram(rows.where(F.col("method") == method), size, truncate=method == "truncate").where("pos > 0")
-        return hist.select(F.lit("quality_plain").alias("model"), "sb_id", F.col("pos").cast("string").alias("context"), "symbol", "n")
-
+    text = F.when(F.col("method") == "truncate", F.substring("quality", F.lit(1), kept_length(F.col("quality")))).otherwise(F.col("quality"))
+    hist = profile.quality_histogram(rows.where("method <> 'rle'").withColumn("quality", text), size).where("pos > 0")
+    plain = hist.select(F.lit("quality_plain").alias("model"), "sb_id", F.col("pos").cast("string").alias("context"), "symbol", "n")
     coded = runs.run_models(rows.where("method = 'rle'"), per)
-    return reduce(DataFrame.union, [plain("plain"), plain("truncate"), coded])
+    return plain.union(coded)
 
 
 class Book:
