@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandlake.functions import batches
-from strandlake.operators import runs
+from strandlake.operators import overlap, profile, runs, transforms
 from strandlake.plans import registry
 
 READS = "rec_no long, title string, seq string, plus string, quality string"
@@ -57,3 +57,57 @@ def test_runs_are_not_exploded(spark):
     assert "Generate" not in plan(registry.QUERIES["quality_runs_restore"](spark, DIR))
     text = plan(registry.QUERIES["quality_bigrams"](spark, DIR))
     assert "Window" not in text and "Generate" not in text
+
+
+def test_kernels_see_pieces(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("ACGTNR") for _ in range(n)), "I" * n) for n in (rng.choice([0, 1, 7, 40, 3000]) for _ in range(300))]
+    seen = []
+    kernel = batches.by_pieces(lambda a: seen.append(a.nbytes) or a)
+    column = pa.array([s for s, _ in rows] * 20)
+    assert kernel(column).equals(column) and len(seen) > 2 and max(seen) <= 2 * batches.PIECE
+    df = spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate(rows)] + [(999, None, None)], "rec_no long, seq string, quality string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        want = sorted(map(tuple, df.collect()))
+        many = df.crossJoin(spark.range(20)).select((F.col("rec_no") + 1000 * F.col("id")).alias("rec_no"), "seq", "quality").coalesce(1)
+        for back in (transforms.color_decode(transforms.color_encode(many)), transforms.unpack_bases(transforms.pack_bases(many).drop("seq")).select("rec_no", "seq", "quality")):
+            assert sorted(map(tuple, back.where("rec_no < 1000").collect())) == want
+            assert back.exceptAll(many).isEmpty() and back.count() == many.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_histogram_of_superblocks_larger_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(profile, "PIECE", 100)
+    rng = random.Random(5)
+    lines = ["", None, "~" * 700] + ["".join(rng.choice("IF#") for _ in range(rng.randrange(90))) for _ in range(150)]
+    df = spark.createDataFrame([(i, "", "", "+", q) for i, q in enumerate(lines)], READS).repartition(4)
+    want = {}
+    for i, q in enumerate(lines):
+        for p, c in enumerate(q or "", 1):
+            for at in (0, p):
+                want[i // 64, at, c] = want.get((i // 64, at, c), 0) + 1
+    hist = profile.quality_histogram(df, 64)
+    assert {tuple(r)[:3]: r.n for r in hist.collect()} == want
+    assert "HashAggregate" not in plan(hist)
+
+
+def test_packed_anchors(spark):
+    rng = random.Random(6)
+    unit = "".join(rng.choice("ACGT") for _ in range(36))
+    odd = "R" * 5 + unit
+    rows = ["A" * 600] * 5 + [unit * 3, odd * 2, "ac" * 60, unit + "N" + unit * 2]
+    df = spark.createDataFrame([(len(rows) - i, s, "I" * len(s)) for i, s in enumerate(rows)], "rec_no long, seq string, quality string").coalesce(1)
+    want = {}
+    for i, s in sorted((len(rows) - i, s) for i, s in enumerate(rows)):
+        for off in range(0, len(s) - 36, 12):
+            kmer = s[off : off + 36]
+            if "N" not in kmer and len(want.setdefault(kmer, [])) < 12:
+                want[kmer].append((i, off))
+    got = {}
+    for r in overlap.anchors(df).orderBy("rec_no", "off").collect():
+        got.setdefault(r.kmer, []).append((r.rec_no, r.off))
+    assert got == want
+    text = plan(overlap.anchors(df))
+    assert text.count("Sort [") == 1 and text.index("Sort [") < text.index("Exchange")  # none before the shuffle
