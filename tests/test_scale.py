@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from strandlake import fixtures
 from strandlake.functions import batches
 from strandlake.operators import overlap, profile, runs, transforms
 from strandlake.plans import registry
@@ -111,3 +112,14 @@ def test_packed_anchors(spark):
     assert got == want
     text = plan(overlap.anchors(df))
     assert text.count("Sort [") == 1 and text.index("Sort [") < text.index("Exchange")  # none before the shuffle
+
+
+def test_reads_are_those_of_the_sql(spark, tmp_path):
+    docs = [(i, t, "en", i) for i, t in enumerate(["", "1 2", "aZé ßİK.b", None, "zzz", "Hello, World " * 50])] + [(-3, "ab", "de", 2), (-4, "", "de", 0), (21, "x y", None, 3), (None, "text", "en", 4), (14, "", "en", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), DIR):
+        want = spark.sql(fixtures._reads_sql("{documents}", "string", ""), documents=fixtures.table(spark, folder, "documents"))
+        got = fixtures.reads(spark, folder)
+        assert [c[:2] for c in got.dtypes] == [c[:2] for c in want.dtypes]
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    assert "regexp_replace" not in plan(got)
