@@ -7,18 +7,19 @@ histograms. A block of 32 reads is one string of bits; a superblock's codes are
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.scalars import BLOCK, RUN_CAP, SUPERBLOCK, block_id, kept_length
+from strandlake.functions.batches import binaries, flat, symbols, whole_groups
+from strandlake.functions.scalars import BLOCK, SUPERBLOCK, block_id, kept_length
 from strandlake.operators import profile, runs
 
 BLOCKS = pa.schema([("sb_id", pa.int64()), ("block_id", pa.int64()), ("data", pa.binary()), ("n_bits", pa.int64())])
-_RUN = re.compile(rf"(.)\1{{0,{RUN_CAP - 1}}}", re.S)
 
 
 def models(reads: DataFrame, methods: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
@@ -33,90 +34,182 @@ def models(reads: DataFrame, methods: DataFrame, size: int = SUPERBLOCK) -> Data
     return plain.union(coded)
 
 
-class Book:
-    """A superblock's codes: for each model a table per context, from symbol to bits."""
-
-    def __init__(self, codes: pa.Table):
-        self.tables: dict[str, dict[str, dict[str, str]]] = {"quality_plain": {}, "run_symbol": {}, "run_length": {}}
-        for model, context, symbol, code in zip(*(codes.column(c).to_pylist() for c in ("model", "context", "symbol", "code"))):
-            self.tables[model].setdefault(context, {})[symbol] = code
-        at = self.tables["quality_plain"]
-        self.plain = [at.get(str(i + 1), {}) for i in range(max(map(int, at), default=0))]
-
-    def turned(self) -> Book:
-        """From bits to symbol."""
-        for contexts in self.tables.values():
-            for context, table in contexts.items():
-                contexts[context] = {code: symbol for symbol, code in table.items()}
-        at = self.tables["quality_plain"]
-        self.plain = [at.get(str(i + 1), {}) for i in range(len(self.plain))]
-        return self
-
-    def bits(self, method: str, qualities: list[str]) -> str:
+#: Codes of up to so many bits are found by one look at a table, fewer where positions are many: so many entries in all.
+LOOK, ENTRIES = 12, 1 << 20
+
+
+def _values(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as numbers, and how many bits each has."""
+    data, at = flat(codes)
+    size = np.diff(at)
+    if size.max(initial=0) > 63:
+        raise ValueError("a code of over 63 bits")
+    bits = (data == ord("1")).astype(np.uint64) << (np.repeat(at[1:], size) - np.arange(len(data)) - 1).astype(np.uint64)
+    value = np.zeros(len(size), np.uint64)
+    if len(data):
+        value[size > 0] = np.add.reduceat(bits, at[:-1][size > 0])
+    return value, size
+
+
+class _Lines:
+    """The codes of a superblock by a number for each context and symbol."""
+
+    def __init__(self, codes: pa.RecordBatch):
+        value, size = _values(codes.column("code"))
+        model, context, symbol = (codes.column(c) for c in ("model", "context", "symbol"))
+        of = {m: np.flatnonzero(pc.equal(model, m).to_numpy(zero_copy_only=False)) for m in ("quality_plain", "run_symbol", "run_length")}
+        self.plain = np.full(0, -1)
+        if len(of["quality_plain"]):
+            at = context.take(pa.array(of["quality_plain"])).cast(pa.int64()).to_numpy() - 1
+            code = symbols(symbol.take(pa.array(of["quality_plain"])))[0]
+            self.plain = np.full((int(at.max()) + 1) * 256, -1)
+            self.plain[at * 256 + code] = of["quality_plain"]
+        one = lambda text: ord(text) if text else -1
+        pick = lambda column, rows: column.take(pa.array(rows)).to_pylist()
+        self.pairs = {(one(b), one(s)): r for b, s, r in zip(pick(context, of["run_symbol"]), pick(symbol, of["run_symbol"]), of["run_symbol"].tolist())}
+        self.sizes = {(one(s), int(n)): r for s, n, r in zip(pick(context, of["run_length"]), pick(symbol, of["run_length"]), of["run_length"].tolist())}
+        self.value, self.size = value, size
+
+    def rows(self, method: str, codes: np.ndarray, at: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes that stand for the reads of some blocks, and where each block's begin."""
         if method != "rle":
-            return "".join("".join(map(dict.__getitem__, self.plain, q)) for q in qualities)
-        out, before = [], ""
-        for run in _RUN.finditer("".join(qualities)):
-            symbol = run[1]
-            out += [self.tables["run_symbol"][before][symbol], self.tables["run_length"][symbol][f"{run.end() - run.start():03d}"]]
-            before = symbol
-        return "".join(out)
-
-    def qualities(self, method: str, bits: str, sizes: list[int]) -> list[str]:
-        """The inverse, on a turned book. A lone symbol takes no bits."""
-        at = 0
-
-        def one(table: dict[str, str]) -> str:
-            nonlocal at
-            end = at if "" in table else at + 1
-            while bits[at:end] not in table:
-                end += 1
-                if end > len(bits):
-                    raise ValueError("bits end inside a code")
-            symbol, at = table[bits[at:end]], end
-            return symbol
-
-        if method != "rle":
-            return ["".join(map(one, self.plain[:n])) for n in sizes]
-        line, before, left = [], "", sum(sizes)
-        while left > 0:
-            symbol = one(self.tables["run_symbol"][before])
-            n = int(one(self.tables["run_length"][symbol]))
-            line.append(symbol * n)
-            before, left = symbol, left - n
-        whole, out, begin = "".join(line), [], 0
-        for n in sizes:
-            out.append(whole[begin : begin + n])
-            begin += n
+            if codes.dtype != np.uint8:
+                raise ValueError("qualities by position must be ASCII")
+            key = (np.arange(len(codes)) - np.repeat(at[:-1], np.diff(at))) * 256 + codes
+            return self._known(self.plain[key] if key.max(initial=0) < len(self.plain) else np.array([-1])), begins
+        run, size = runs.cut_runs(codes, begins)
+        symbol = codes[run].astype(np.int64)
+        before = np.concatenate(([-1], symbol[:-1]))[: len(run)]
+        before[np.isin(run, begins)] = -1
+        out = np.empty(2 * len(run), np.int64)
+        for k, (left, right, table) in enumerate(((before, symbol, self.pairs), (symbol, size, self.sizes))):
+            key, of = np.unique((left + 1 << 32) + right, return_inverse=True)
+            out[k::2] = np.array([table.get(((x >> 32) - 1, x & 0xFFFFFFFF), -1) for x in key.tolist()], np.int64)[of]
+        return self._known(out), 2 * np.searchsorted(run, begins)
+
+    @staticmethod
+    def _known(rows: np.ndarray) -> np.ndarray:
+        if rows.min(initial=0) < 0:
+            raise ValueError("a symbol without a code")
+        return rows
+
+    def packed(self, rows: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Each block's bits behind a leading 1, which keeps their number, and that number."""
+        size = self.size[rows]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        bounds = ends[np.append(begins, len(rows))]
+        n = np.diff(bounds)
+        whole = 8 * (n // 8 + 1)
+        base = np.concatenate(([0], np.cumsum(whole)))
+        out = np.zeros(base[-1], np.uint8)
+        first = base[:-1] + whole - n
+        out[first - 1] = 1
+        place = np.arange(bounds[-1])
+        shift = (np.repeat(ends[1:], size) - place - 1).astype(np.uint64)
+        out[place + np.repeat(first - bounds[:-1], n)] = np.repeat(self.value[rows], size) >> shift & np.uint64(1)
+        return binaries(np.packbits(out), base // 8), n
+
+
+class _Table:
+    """What the next bits mean, by the first ``width`` of them: (meaning, bits); codes of over ``most`` bits apart."""
+
+    def __init__(self, codes: list[tuple[str, object]], most: int = LOOK):
+        self.width = min(most, max(len(c) for c, _ in codes))
+        self.near: list[tuple | None] = [None] * (1 << self.width)
+        self.far = {c: (s, len(c)) for c, s in codes if len(c) > self.width}
+        for c, s in codes:
+            if len(c) <= self.width:
+                low = int(c or "0", 2) << self.width - len(c)
+                self.near[low : low + (1 << self.width - len(c))] = [(s, len(c))] * (1 << self.width - len(c))
+
+    def late(self, bits: np.ndarray, at: int) -> tuple:
+        """A code that the table does not hold."""
+        for n in sorted({len(c) for c in self.far}):
+            if at + n <= len(bits) and (found := self.far.get("".join(map(str, bits[at : at + n].tolist())))):
+                return found
+        raise ValueError("bits end inside a code")
+
+
+class _Book:
+    """A superblock's codes, turned: from bits to symbols."""
+
+    def __init__(self, codes: pa.RecordBatch):
+        tables: dict[str, dict[str, list[tuple[str, str]]]] = {"quality_plain": {}, "run_symbol": {}, "run_length": {}}
+        for model, context, symbol, code in zip(*(codes.column(c).to_pylist() for c in ("model", "context", "symbol", "code"))):
+            tables[model].setdefault(context, []).append((code, symbol))
+        made: dict[tuple, _Table] = {}  # many positions have the same codes
+
+        def table(codes: list[tuple[str, object]]) -> _Table:
+            key = tuple(codes)
+            if key not in made:
+                made[key] = _Table(codes, most)
+            return made[key]
+
+        at = tables["quality_plain"]
+        most = min(LOOK, max(3, (ENTRIES // (len(at) + 1)).bit_length() - 1))
+        none = _Table([("", "")])
+        self.plain = [table(at[str(i + 1)]) if str(i + 1) in at else none for i in range(max(map(int, at), default=0))]
+        sizes = {symbol: table([(c, int(n)) for c, n in codes]) for symbol, codes in tables["run_length"].items()}
+        self.after = {before: _Table([(c, (s, sizes[s])) for c, s in codes]) for before, codes in tables["run_symbol"].items()}
+
+    def qualities(self, method: str, data: bytes, lengths: list[int]) -> list[str]:
+        """The reads of a block. A lone symbol takes no bits."""
+        bits = np.unpackbits(np.frombuffer(data, np.uint8))
+        bits = bits[int(np.argmax(bits)) + 1 :]
+        padded = np.concatenate((bits, np.zeros(LOOK, np.uint8))).astype(np.uint16)
+        look = np.zeros(len(bits) + 1, np.uint16)
+        for k in range(LOOK):
+            look |= padded[k : k + len(look)] << (LOOK - 1 - k)
+        at, out, shown = 0, [], memoryview(look)
+        try:
+            if method != "rle":
+                for n in lengths:
+                    line = []
+                    if n > len(self.plain):
+                        raise ValueError("a read longer than its superblock's codes")
+                    for t in self.plain[:n]:
+                        symbol, m = t.near[shown[at] >> LOOK - t.width] or t.late(bits, at)
+                        line.append(symbol)
+                        at += m
+                    out.append("".join(line))
+            else:
+                line, before, left = [], "", sum(lengths)
+                while left > 0:
+                    t = self.after[before]
+                    (before, t), m = t.near[shown[at] >> LOOK - t.width] or t.late(bits, at)
+                    at += m
+                    n, m = t.near[shown[at] >> LOOK - t.width] or t.late(bits, at)
+                    at += m
+                    line.append(before * n)
+                    left -= n
+                whole, begin = "".join(line), 0
+                for n in lengths:
+                    out.append(whole[begin : begin + n])
+                    begin += n
+        except IndexError:
+            raise ValueError("bits end inside a code") from None
+        if at > len(bits):
+            raise ValueError("bits end inside a code")
         return out
 
 
-def packed(bits: str) -> bytes:
-    """Bits behind a leading 1, which keeps their number."""
-    return int("1" + bits, 2).to_bytes(len(bits) // 8 + 1, "big")
-
-
-def unpacked(data: bytes) -> str:
-    return bin(int.from_bytes(data, "big"))[3:]
-
-
-def _each_block(table: pa.Table) -> Iterator[tuple[int, str, list[dict]]]:
-    rows = sorted(table.to_pylist(), key=lambda r: r["rec_no"])
-    begin = 0
-    for i in range(1, len(rows) + 1):
-        if i == len(rows) or rows[i]["block_id"] != rows[begin]["block_id"]:
-            yield rows[begin]["block_id"], rows[begin]["method"], rows[begin:i]
-            begin = i
+def _sorted(table: pa.Table, key: str) -> pa.RecordBatch:
+    table = table.combine_chunks()
+    return (table.take(pa.array(np.argsort(table.column(key).to_numpy(), kind="stable"))).combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], table.schema)])[0]
 
 
 def _encode(reads: pa.Table, codes: pa.Table) -> pa.Table:
     if not reads.num_rows:
         return BLOCKS.empty_table()
-    sb_id, book, out = reads.column("sb_id")[0].as_py(), Book(codes), []
-    for block, method, rows in _each_block(reads):
-        bits = book.bits(method, [r["quality"] for r in rows])
-        out.append((sb_id, block, packed(bits), len(bits)))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), BLOCKS.types)], schema=BLOCKS)
+    rows = _sorted(reads, "rec_no")
+    method, sb_id = rows.column("method")[0].as_py(), rows.column("sb_id")[0].as_py()
+    lines, out = _Lines((codes.combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], codes.schema)])[0]), []
+    for b in whole_groups(iter([rows]), "block_id"):
+        text, at = symbols(b.column("quality"))
+        blocks, first = np.unique(b.column("block_id").to_numpy(), return_index=True)
+        data, n = lines.packed(*lines.rows(method, text, at, at[first]))
+        out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), sb_id)), pa.array(blocks), data, pa.array(n)], schema=BLOCKS))
+    return pa.Table.from_batches(out, BLOCKS)
 
 
 def _decode(sizes: pa.Table, both: pa.Table) -> pa.Table:
@@ -124,12 +217,19 @@ def _decode(sizes: pa.Table, both: pa.Table) -> pa.Table:
     kind = pa.schema([("rec_no", pa.int64()), ("quality", pa.string())])
     if not sizes.num_rows:
         return kind.empty_table()
-    book = Book(both.filter(both.column("data").is_null())).turned()
-    data = {r["block_id"]: r["data"] for r in both.select(["block_id", "data"]).filter(both.column("data").is_valid()).to_pylist()}
-    out = []
-    for block, method, rows in _each_block(sizes):
-        out += zip([r["rec_no"] for r in rows], book.qualities(method, unpacked(data[block]), [r["kept"] for r in rows]))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kind.types)], schema=kind)
+    both, rows = both.combine_chunks(), _sorted(sizes, "rec_no")
+    codes = both.filter(both.column("data").is_null()).combine_chunks().to_batches()
+    book = _Book(codes[0] if codes else pa.RecordBatch.from_pylist([], both.schema))
+    blocks = both.select(["block_id", "data"]).filter(both.column("data").is_valid())
+    data = dict(zip(blocks.column("block_id").to_pylist(), blocks.column("data").to_pylist()))
+    method, out = rows.column("method")[0].as_py(), []
+    for b in whole_groups(iter([rows]), "block_id"):
+        block, first = np.unique(b.column("block_id").to_numpy(), return_index=True)
+        kept, made = b.column("kept").to_pylist(), []
+        for number, i, j in zip(block.tolist(), first, [*first[1:], b.num_rows]):
+            made += book.qualities(method, data[number], kept[i:j])
+        out.append(pa.RecordBatch.from_arrays([b.column("rec_no"), pa.array(made, pa.string())], schema=kind))
+    return pa.Table.from_batches(out, kind)
 
 
 def _by_superblock(left: DataFrame, right: DataFrame, fn: Callable, schema: str) -> DataFrame:
