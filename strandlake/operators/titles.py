@@ -57,11 +57,13 @@ def conformity(titles: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
 _NUMBER = "^(0|[1-9][0-9]{0,17})$"
 
 
-def field_schema(titles: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
-    """Per field: constant, length-constant, digits only, numeric (canonical, so that it round-trips), ranges."""
+def field_schema(titles: DataFrame, size: int = SUPERBLOCK, rows: DataFrame | None = None) -> DataFrame:
+    """Per field: constant, length-constant, digits only, numeric (canonical, so that it round-trips), ranges. ``rows`` are
+    those of ``split_expected`` where they are at hand."""
+    rows = split_expected(titles, size) if rows is None else rows
     number = F.when(F.col("txt").rlike(_NUMBER), F.col("txt").cast("bigint"))
     numeric = F.bool_and(F.col("txt").rlike(_NUMBER))
-    stats = split_expected(titles, size).groupBy("sb_id", "field_no").agg(
+    stats = rows.groupBy("sb_id", "field_no").agg(
         (F.min("txt") == F.max("txt")).alias("constant"),
         F.min(F.length("txt")).alias("min_len"),
         F.max(F.length("txt")).alias("max_len"),
@@ -74,9 +76,9 @@ def field_schema(titles: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
     return expected_fields(titles, size).drop("txt0").join(stats, ["sb_id", "field_no"])
 
 
-def numeric_values(titles: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
+def numeric_values(titles: DataFrame, size: int = SUPERBLOCK, rows: DataFrame | None = None) -> DataFrame:
     """(sb_id, field_no, rec_no, value) of the numeric fields."""
-    rows = split_expected(titles, size)
+    rows = split_expected(titles, size) if rows is None else rows
     good = rows.groupBy("sb_id", "field_no").agg(F.bool_and(F.col("txt").rlike(_NUMBER)).alias("numeric")).where("numeric").drop("numeric")
     return rows.join(good, ["sb_id", "field_no"]).select("sb_id", "field_no", "rec_no", F.col("txt").cast("bigint").alias("value"))
 
@@ -99,10 +101,11 @@ def char_histogram(fields: DataFrame) -> DataFrame:
 
 
 def char_mask(fields: DataFrame) -> DataFrame:
-    """(sb_id, field_no, pos, constant): whether every record has record 0's character there."""
+    """(sb_id, field_no, pos, constant): whether every record has record 0's character there. Characters are compared as
+    numbers, which are aggregated without a sort of a row per character."""
     each = fields.select("sb_id", "field_no", "rec_no", F.posexplode(symbols(F.col("txt"))).alias("pos", "ch")).where("ch <> ''")
     first = fields.groupBy("sb_id", "field_no").agg(F.min_by("txt", "rec_no").alias("txt0"), F.count("*").alias("records"))
-    seen = each.groupBy("sb_id", "field_no", "pos").agg(F.min("ch").alias("lo"), F.max("ch").alias("hi"), F.count("*").alias("have"))
+    seen = each.groupBy("sb_id", "field_no", "pos").agg(F.min(F.ascii("ch")).alias("lo"), F.max(F.ascii("ch")).alias("hi"), F.count("*").alias("have"))
     joined = seen.join(first, ["sb_id", "field_no"]).where(F.col("pos") < F.length("txt0"))
     same = (F.col("lo") == F.col("hi")) & (F.col("have") == F.col("records"))
     return joined.select("sb_id", "field_no", "pos", same.alias("constant"))
@@ -111,10 +114,16 @@ def char_mask(fields: DataFrame) -> DataFrame:
 def value_or_delta(values: DataFrame) -> DataFrame:
     """Per numeric field the coding with the smaller range, deltas on ties, its bits, and whether a table of
     codes is kept: up to 512 distinct values or deltas."""
+    return value_stats(values).drop("min_delta")
+
+
+def value_stats(values: DataFrame) -> DataFrame:
+    """``value_or_delta`` with the least delta."""
     rows = values.withColumn("delta", F.col("value") - F.lag("value").over(Window.partitionBy("sb_id", "field_no").orderBy("rec_no")))
     stats = rows.groupBy("sb_id", "field_no").agg(
         (F.max("value") - F.min("value")).alias("value_range"),
         F.coalesce(F.max("delta") - F.min("delta"), F.lit(0)).cast("bigint").alias("delta_range"),
+        F.coalesce(F.min("delta"), F.lit(0)).cast("bigint").alias("min_delta"),
         F.countDistinct("value").alias("n_values"),
         F.countDistinct("delta").alias("n_deltas"),
     )
@@ -125,6 +134,7 @@ def value_or_delta(values: DataFrame) -> DataFrame:
         F.when(by_value, "value").otherwise("delta").alias("coding"),
         F.when(by_value, bit_length(F.col("value_range"))).otherwise(bit_length(F.col("delta_range"))).alias("bits"),
         (F.when(by_value, F.col("n_values")).otherwise(F.col("n_deltas")) <= MAX_DISTINCT).alias("table_kept"),
+        "min_delta",
     )
 
 
