@@ -10,26 +10,27 @@ from pyspark.sql import functions as F
 from strandlake.functions.scalars import SUPERBLOCK, bit_length, n_count
 from strandlake.operators import overlap, profile, quality_coding, title_coding
 from strandlake.operators.huffman import huffman
-from strandlake.operators.titles import MAX_DISTINCT, POSITIONS, split_expected
+from strandlake.operators.titles import MAX_DISTINCT, POSITIONS
+from strandlake.sources.archive import stored
 
 
-def _title_models(coded: title_coding.Coded, titles: DataFrame, size: int) -> DataFrame:
+def _title_models(coded: title_coding.Coded) -> DataFrame:
     """Histograms of what titles store: numbers of up to 512 values by field, and the characters of text fields by
     position, without the positions that are constant."""
     numbers = coded.rows.where("field_no >= 0 and num is not null").groupBy("sb_id", "field_no", "num").agg(F.count("*").alias("n"))
     few = numbers.groupBy("sb_id", "field_no").agg(F.count("*").alias("k")).where(F.col("k") <= MAX_DISTINCT).drop("k")
     numbers = numbers.join(few, ["sb_id", "field_no"]).select(F.lit("title_value").alias("model"), "sb_id", F.col("field_no").cast("string").alias("context"), F.lpad((F.col("num") + F.lit(1 << 60)).cast("string"), 20, "0").alias("symbol"), "n")
-    fields = split_expected(titles, size).join(coded.schema.where("kind = 'text'").select("sb_id", "field_no", "mask"), ["sb_id", "field_no"])
+    fields = coded.fields.join(coded.schema.where("kind = 'text'").select("sb_id", "field_no", "mask"), ["sb_id", "field_no"])
     each = fields.select("sb_id", "field_no", "mask", F.posexplode(F.split("txt", "")).alias("p", "ch")).where("ch <> '' and substring(mask, p + 1, 1) <> '1'")
     chars = each.groupBy("sb_id", "field_no", F.least("p", F.lit(POSITIONS)).alias("pos"), "ch").agg(F.count("*").alias("n"))
     return numbers.union(chars.select(F.lit("title_char").alias("model"), "sb_id", F.concat_ws(":", "field_no", "pos").alias("context"), F.col("ch").alias("symbol"), "n"))
 
 
-def models(reads: DataFrame, size: int = SUPERBLOCK) -> DataFrame:
-    """(model, sb_id, context, symbol, n): every histogram that codes are built for."""
-    titles = reads.select("rec_no", "title")
+def models(reads: DataFrame, size: int = SUPERBLOCK, titles: title_coding.Coded | None = None) -> DataFrame:
+    """(model, sb_id, context, symbol, n): every histogram that codes are built for; ``titles`` where they are coded already."""
+    titles = titles or title_coding.encode(reads.select("rec_no", "title"), size)
     qualities = quality_coding.models(reads.select("rec_no", "quality"), profile.quality_method(reads, size), size)
-    return qualities.union(_title_models(title_coding.encode(titles, size), titles, size))
+    return qualities.union(_title_models(titles))
 
 
 def size_report(reads: DataFrame, size: int = SUPERBLOCK, overlaps: str | None = None) -> DataFrame:
@@ -42,13 +43,12 @@ def size_report(reads: DataFrame, size: int = SUPERBLOCK, overlaps: str | None =
     width of the largest, "n" the places of N, "lengths" where they vary, "plus" a bit where one is not bare and the
     text of plus lines that the title does not tell.
     """
-    titles, rows = reads.select("rec_no", "title"), profile.superblocks(reads, size)
-    codes = huffman(models(reads, size))
+    rows, kept = profile.superblocks(reads, size), title_coding.encode(reads.select("rec_no", "title"), size)
+    codes = stored(huffman(models(reads, size, kept)), "codes")
     coded = codes.groupBy("sb_id", F.when(F.col("model").startswith("title"), F.col("model")).otherwise("quality").alias("stream")).agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
     table = codes.groupBy("sb_id", "model", "context").agg(F.count("*").alias("k"), F.max("n").alias("m"))
     table = table.select("sb_id", F.lit("tables").alias("stream"), (8 + bit_length(F.col("k")) + F.col("k") * (8 + bit_length(F.col("m")))).alias("bits"))
 
-    kept = title_coding.encode(titles, size)
     numbers = kept.rows.where("num is not null").groupBy("sb_id", "field_no").agg(F.countDistinct("num").alias("k"), F.count("*").alias("n"), F.max("num").alias("hi"), F.min("num").alias("lo"))
     numbers = numbers.where(F.col("k") > MAX_DISTINCT).select("sb_id", F.lit("title_number").alias("stream"), (F.col("n") * bit_length(F.col("hi") - F.col("lo"))).alias("bits"))
     odd = kept.rows.where("field_no = -1").select("sb_id", F.lit("title_odd").alias("stream"), (8 * F.octet_length(F.coalesce("chars", F.lit("")))).alias("bits"))
