@@ -6,12 +6,16 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CODES = "model string, sb_id bigint, context string, symbol string, n bigint, code string, bits int"
 _TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32())
+#: Rows of histograms that a kernel builds trees for at once.
+ROWS = 1 << 16
 
 
 def codes(counts: list[int]) -> list[str]:
@@ -44,29 +48,41 @@ def codes(counts: list[int]) -> list[str]:
     return out
 
 
+def _coded(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    """Rows with their codes; groups with the same counts share a tree."""
+    n, size = rows.column("n").to_numpy(), np.diff(np.append(starts, rows.num_rows))
+    texts, of = [""], np.zeros(rows.num_rows, np.int64)
+    for k in np.unique(size[size > 1]).tolist():
+        at = starts[size == k][:, None] + np.arange(k)
+        counts, same = np.unique(n[at], axis=0, return_inverse=True)
+        of[at] = len(texts) + same.reshape(-1, 1) * k + np.arange(k)
+        texts += [code for row in counts.tolist() for code in codes(row)]
+    bits = np.array([len(code) for code in texts], np.int32)[of]
+    return pa.RecordBatch.from_arrays([*(c.cast(t) for c, t in zip(rows.columns, _TYPES)), pa.array(texts, pa.string()).take(pa.array(of)), pa.array(bits)], [*rows.schema.names, "code", "bits"])
+
+
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group and symbol; a group may go on in the next batch."""
-    names = ("model", "sb_id", "context", "symbol", "n")
-
-    def done(rows: list[tuple]) -> Iterator[tuple]:
-        for row, code in zip(rows, codes([r[4] for r in rows])):
-            yield (*row, code, len(code))
+    held: list[pa.RecordBatch] = []
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], [*names, "code", "bits"])
+    def joined() -> tuple[pa.RecordBatch, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for key in ("model", "sb_id", "context"):
+            column = rows.column(key)
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False)
+        return rows, np.flatnonzero(new)
 
-    held: list[tuple] = []
     for b in batches:
-        out: list[tuple] = []
-        for row in zip(*(b.column(c).to_pylist() for c in names)):
-            if held and row[:3] != held[0][:3]:
-                out += done(held)
-                held = []
-            held.append(row)
-        if out:
-            yield batch(out)
+        held += [b] * bool(b.num_rows)
+        if sum(h.num_rows for h in held) >= ROWS:
+            rows, starts = joined()
+            if len(starts) > 1:
+                yield _coded(rows.slice(0, starts[-1]), starts[:-1])
+            held = [rows.slice(starts[-1])]
     if held:
-        yield batch(list(done(held)))
+        yield _coded(*joined())
 
 
 def huffman(histogram: DataFrame) -> DataFrame:

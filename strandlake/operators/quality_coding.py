@@ -148,7 +148,8 @@ class _Book:
         at = tables["quality_plain"]
         most = min(LOOK, max(3, (ENTRIES // (len(at) + 1)).bit_length() - 1))
         none = _Table([("", "")])
-        self.plain = [table(at[str(i + 1)]) if str(i + 1) in at else none for i in range(max(map(int, at), default=0))]
+        plain = [table(at[str(i + 1)]) if str(i + 1) in at else none for i in range(max(map(int, at), default=0))]
+        self.plain = [(t.near, LOOK - t.width, t) for t in plain]
         sizes = {symbol: table([(c, int(n)) for c, n in codes]) for symbol, codes in tables["run_length"].items()}
         self.after = {before: _Table([(c, (s, sizes[s])) for c, s in codes]) for before, codes in tables["run_symbol"].items()}
 
@@ -167,8 +168,8 @@ class _Book:
                     line = []
                     if n > len(self.plain):
                         raise ValueError("a read longer than its superblock's codes")
-                    for t in self.plain[:n]:
-                        symbol, m = t.near[shown[at] >> LOOK - t.width] or t.late(bits, at)
+                    for near, shift, t in self.plain[:n]:
+                        symbol, m = near[shown[at] >> shift] or t.late(bits, at)
                         line.append(symbol)
                         at += m
                     out.append("".join(line))

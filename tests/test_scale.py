@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from strandlake import fixtures
 from strandlake.functions import batches
-from strandlake.operators import overlap, profile, runs, transforms
+from strandlake.operators import huffman, overlap, profile, quality_coding, runs, transforms
 from strandlake.plans import registry
 
 READS = "rec_no long, title string, seq string, plus string, quality string"
@@ -123,3 +124,34 @@ def test_reads_are_those_of_the_sql(spark, tmp_path):
         assert [c[:2] for c in got.dtypes] == [c[:2] for c in want.dtypes]
         assert got.count() == want.count() and got.exceptAll(want).isEmpty()
     assert "regexp_replace" not in plan(got)
+
+
+def test_trees_of_groups_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(huffman, "ROWS", 50)
+    rng = random.Random(7)
+    rows = [("m", sb, str(c), f"{s:03d}", rng.randrange(1, 9)) for sb in range(4) for c in range(9) for s in range(rng.choice([1, 2, 3, 3, 70]))]
+    names = ["model", "sb_id", "context", "symbol", "n"]
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows])
+    got = pa.Table.from_batches(huffman._build(iter(table.to_batches(max_chunksize=13)))).to_pylist()
+    want, groups = [], {}
+    for r in rows:
+        groups.setdefault(r[:3], []).append(r)
+    for group in groups.values():
+        want += [(*r, code, len(code)) for r, code in zip(group, huffman.codes([r[4] for r in group]))]
+    assert [tuple(r.values()) for r in got] == want
+
+
+def test_codes_longer_than_the_table(spark, monkeypatch):
+    lines = ["".join(chr(40 + k) * (2**k) for k in range(9)) + "I#" * 9] * 3
+    df = spark.createDataFrame([(i, "", "", "+", q) for i, q in enumerate(lines)], READS)
+    codes = ["1" * k + "0" for k in range(20)] + ["1" * 20]
+    table = quality_coding._Table([(c, k) for k, c in enumerate(codes)])
+    assert all(table.near[int(c.ljust(12, "0")[:12], 2)] == (k, len(c)) for k, c in enumerate(codes) if len(c) <= 12)
+    bits = np.array([int(b) for b in "1" * 15 + "0" + "11"], np.uint8)
+    assert table.near[4095] is None and table.late(bits, 0) == (15, 16)
+    with pytest.raises(ValueError, match="inside"):
+        table.late(bits, 16)
+    methods = spark.range(1).selectExpr("id AS sb_id", "'rle' AS method")
+    made = huffman.huffman(quality_coding.models(df, methods, 64))
+    back = quality_coding.decode(quality_coding.lengths(df, methods, 64), quality_coding.encode(df, methods, made, 64), made)
+    assert sorted(r.quality for r in back.collect()) == lines
